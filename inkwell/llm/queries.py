@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from .cap_filters import OP4_SQL, op4_embedding_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .licenses import op8_license_scans
+from .line_dedup import OP7_SQL, op7_line_dedup
 from .simhash import op1_simhash
+from .url_rules import OP5_SQL, op5_url_filters
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_url_filters": op5_url_filters,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_license_scans": op8_license_scans,
 }
 SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op4_embedding_dedup": OP4_SQL,
+    "op5_url_filters": OP5_SQL,
+    "op7_line_dedup": OP7_SQL,
 }
