@@ -1,14 +1,54 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's docs."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.llm.line_dedup import drop_boilerplate
+from inkwell.llm.mixing import TARGETS, in_order
+from inkwell.llm.pieces import encode
+from inkwell.llm.simhash import near_duplicates
+from inkwell.llm.toxicity import clean_documents
+from inkwell.storage import materialize
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the toxicity score rejects."""
+    return clean_documents(spark, docs, sf_dir)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with cross-site boilerplate lines taken out; n_chars follows the text that stays."""
+    cut = drop_boilerplate(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id. Rows without id stay."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All docs in the order that interleaves their sources at the target weights."""
+    return in_order(docs, TARGETS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids, n_bytes, round_trip of all docs."""
+    return encode(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash", simhash), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+#: Scores and fingerprints have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """The documents after every stage."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

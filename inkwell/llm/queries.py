@@ -8,7 +8,9 @@ from .licenses import op8_license_scans
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import OP2_SQL, op2_source_mixing
 from .pieces import op10_sentencepiece
+from .secrets_scan import op9_secret_scans
 from .simhash import op1_simhash
+from .toxicity import op6_toxicity
 from .url_rules import OP5_SQL, op5_url_filters
 
 QUERIES = {
@@ -17,8 +19,10 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scans": op8_license_scans,
+    "op9_secret_scans": op9_secret_scans,
     "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {
