@@ -28,7 +28,8 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. Rows without id stay."""
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # gone grows with the copies: never broadcast
+    return kept.select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
