@@ -45,12 +45,20 @@ def fingerprint(text: Column) -> Column:
 
 
 def shingles(words: Column, k: int, stride: int) -> Column:
-    """k-word shingles each stride words; shorter texts give one of all their words, empty ones none. Distinct."""
+    """k-word shingles each stride words; shorter texts give one of all their words, empty ones none. Repeats stay.
+
+    words should be a column of its own: each shingle slices it.
+    """
     n = F.size(words)
     at = F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)), F.lit(stride))
     many = F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.when(n == 0, none).when(n < k, F.array(F.array_join(words, " "))).otherwise(many))
+    return F.when(n == 0, none).when(n < k, F.array(F.array_join(words, " "))).otherwise(many)
+
+
+def gram_set(words: Column, k: int, stride: int) -> Column:
+    """The sorted distinct hashes of the shingles."""
+    return F.array_sort(F.array_distinct(F.transform(shingles(words, k, stride), lambda g: F.xxhash64(g))))
 
 
 def sentence_boundary() -> str:

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import shingles, tokens
+from inkwell.functions.text import gram_set, tokens
 from inkwell.storage import materialize
 
 WORDS, STRIDE, SIMILARITY = 50, 25, 0.6
 
 
+def gram_sets(docs: DataFrame, id_col: str, text_col: str, k: int, stride: int) -> DataFrame:
+    """(id, grams) of the texts that have words."""
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.lower(text_col)).alias("words")).where(F.size("words") > 0)
+    return rows.select("id", gram_set(F.col("words"), k, stride).alias("grams"))
+
+
 def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, stride: int = STRIDE) -> DataFrame:
     """(rep, members, grams): texts of one shingle set are one class, with its smallest id, its size and its sorted gram hashes.
 
     Copies thus never meet each other in a join. Texts without words have no set and are in no class.
     """
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.lower(text_col)).alias("words"))
-    grams = rows.select("id", F.array_sort(F.transform(shingles(F.col("words"), k, stride), lambda g: F.xxhash64(g))).alias("grams")).where(F.size("grams") > 0)
+    grams = gram_sets(docs, id_col, text_col, k, stride)
     return grams.groupBy("grams").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
 
 
@@ -45,6 +50,6 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def memberships(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, stride: int = STRIDE) -> DataFrame:
     """(id, rep): the representative of each text's class."""
-    rows = docs.select(F.col(id_col).alias("id"), F.array_sort(F.transform(shingles(tokens(F.lower(text_col)), k, stride), lambda g: F.xxhash64(g))).alias("grams")).where(F.size("grams") > 0)
+    rows = gram_sets(docs, id_col, text_col, k, stride)
     classes = rows.groupBy("grams").agg(F.min("id").alias("rep"))
     return rows.join(classes, "grams").select("id", "rep")

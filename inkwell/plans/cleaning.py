@@ -37,7 +37,7 @@ _HEAD, _TAIL = rf"(?is)^(.*?)({lx.BODY_START})", rf"(?is)^(.*?){lx.BODY_END}"
 @query(
     "clean_body",
     f"""WITH {_sql('preamble ' + START, END + ' licence')}, c AS (SELECT doc_id, text, length(regexp_extract(text, '{_HEAD}', 1)) + length(regexp_extract(text, '{_HEAD}', 2)) AS a, length(regexp_extract(text, '{_TAIL}', 1)) AS b FROM d),
-e AS (SELECT doc_id, substr(text, a + 1, b - a) AS t FROM c) SELECT doc_id, md5(t) AS h, length(t) AS n FROM e""",
+e AS (SELECT doc_id, CASE WHEN b > a THEN substr(text, a + 1, b - a) ELSE substr(text, a + 1) END AS t FROM c) SELECT doc_id, md5(t) AS h, length(t) AS n FROM e""",
 )
 def clean_body(spark, sf_dir):
     """E-book text between its start and end marks."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import fingerprint, long_size, rounded, shingles, tokens
+from inkwell.functions.text import fingerprint, gram_set, long_size, rounded, tokens
 from inkwell.operators import neardup, overlap
 from inkwell.operators.skew import join_groups
 from inkwell.plans import snippets as sq
@@ -55,7 +55,8 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <
 
 @query("shingle_counts", f"WITH {_GRAMS} SELECT w.doc_id, count(g) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY 1")
 def shingle_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", long_size(shingles(tokens(F.lower("text")), neardup.WORDS, neardup.STRIDE)).alias("n_shingles"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokens(F.lower("text")).alias("words"))
+    return rows.select("doc_id", long_size(gram_set(F.col("words"), neardup.WORDS, neardup.STRIDE)).alias("n_shingles"))
 
 
 _CLASSES = f"""{_GRAMS}, k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k, count(*) AS n FROM s GROUP BY 1),
