@@ -57,7 +57,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = lines.join(found, ["h1", "h2"]).where(F.col("id") != F.col("first_id"))
     cut = materialize(hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("_ink_cut")), "cut-lines")
     cut = cut.withColumnRenamed("id", "_ink_id")
-    joined = docs.join(cut, F.col(id_col) == F.col("_ink_id"), "left").withColumn("_ink_lines", F.split(text_col, "\n"))
+    # The texts are shuffled at every size alike: what is cut has rows in proportion to the documents.
+    joined = docs.join(cut.hint("merge"), F.col(id_col) == F.col("_ink_id"), "left").withColumn("_ink_lines", F.split(text_col, "\n"))
     # The lines between each two removed ones, in order; both arrays are columns so that they are made once a row.
     joined = joined.withColumn("_ink_bounds", F.concat(F.array(F.lit(-1)), F.col("_ink_cut"), F.array(F.size("_ink_lines"))))
     at = F.col("_ink_bounds")
