@@ -74,21 +74,24 @@ def _decode(words: int):
         books: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             sizes = np.array([len(v) for v in batch.column("vec")])
-            cols = {k: [] for k in ("row", "fid", "fids", "unit")}
+            cols = {k: [] for k in ("row", "fid", "fids", "vec")}
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
                 x = _unit(np.array([batch.column("vec")[k].values.to_numpy(zero_copy_only=False) for k in at.tolist()], dtype=np.float64))
                 if dim not in books:
                     books[dim] = [codebook(dim // 2, words), codebook(dim - dim // 2, words, SEED + 1)]
-                for k, u, fids in zip(at.tolist(), x, list_decode(x, books[dim], bar_z / np.sqrt(dim)) if dim > 1 else [np.zeros(1, np.int64)] * len(at)):
+                raw = [batch.column("vec")[k].values.to_numpy(zero_copy_only=False).astype(np.float64) for k in at.tolist()]
+                single = [r.astype(np.float32) for r in raw]  # half the bytes wherever nothing is lost
+                raw = [s if (s == r).all() else r for s, r in zip(single, raw)]
+                for k, u, fids in zip(at.tolist(), raw, list_decode(x, books[dim], bar_z / np.sqrt(dim)) if dim > 1 else [np.zeros(1, np.int64)] * len(at)):
                     cols["row"] += [k] * len(fids)
                     cols["fid"] += fids.tolist()
                     cols["fids"] += [fids] * len(fids)
-                    cols["unit"] += [u.tobytes()] * len(fids)
+                    cols["vec"] += [u.tobytes()] * len(fids)
             take = pa.array(cols["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(take) for c in ("label", "rep", "n_rows")] + [pa.array(sizes[np.array(cols["row"], dtype=np.int64)].astype(np.int32)), pa.array(cols["fid"], pa.int64()), pa.array(cols["fids"], pa.list_(pa.int64())), pa.array(cols["unit"], pa.binary())],
-                names=["label", "rep", "n_rows", "dim", "fid", "fids", "unit"],
+                [batch.column(c).take(take) for c in ("label", "rep", "n_rows")] + [pa.array(sizes[np.array(cols["row"], dtype=np.int64)].astype(np.int32)), pa.array(cols["fid"], pa.int64()), pa.array(cols["fids"], pa.list_(pa.int64())), pa.array(cols["vec"], pa.binary())],
+                names=["label", "rep", "n_rows", "dim", "fid", "fids", "vec"],
             )
 
     return run
@@ -112,7 +115,13 @@ def _verify(threshold: float):
             for k in range(batch.num_rows):
                 got = {c: batch.column(c)[k] for c in batch.schema.names}
                 fid = got["fid"].as_py()
-                side = lambda s: (np.frombuffer(b"".join(x.as_py() for x in got[f"{s}_unit"]), np.float64).reshape(len(got[f"{s}_unit"]), -1), got[f"{s}_rep"].values.to_numpy(zero_copy_only=False), got[f"{s}_n_rows"].values.to_numpy(zero_copy_only=False), [x.as_py() for x in got[f"{s}_fids"]])  # noqa: B023, E731
+                dim = got["dim"].as_py()
+
+                def side(s, got=got, dim=dim):
+                    raw = [x.as_py() for x in got[f"{s}_vec"]]
+                    x = np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
+                    return _unit(x), got[f"{s}_rep"].values.to_numpy(zero_copy_only=False), got[f"{s}_n_rows"].values.to_numpy(zero_copy_only=False), [f.as_py() for f in got[f"{s}_fids"]]
+
                 xa, ia, na, fa = side("a")
                 same = not got["b_rep"].is_valid
                 xb, ib, nb, fb = (xa, ia, na, fa) if same else side("b")
@@ -166,16 +175,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     words = 16
     while words < 4096 and words * words * BUCKET < largest * FILTERS:
         words *= 2
-    filtered = classes.select("label", "rep", "n_rows", "vec").repartition("rep").mapInArrow(_decode(words), f"label {dict(rows.dtypes)['label']}, rep long, n_rows long, dim int, fid long, fids array<long>, unit binary")
+    filtered = classes.select("label", "rep", "n_rows", "vec").repartition("rep").mapInArrow(_decode(words), f"label {dict(rows.dtypes)['label']}, rep long, n_rows long, dim int, fid long, fids array<long>, vec binary")
     filtered = materialize(filtered, "filtered")
     bucket = ["label", "dim", "fid"]
     sizes = filtered.groupBy(*bucket).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
     placed = filtered.join(sizes, bucket).withColumn("tile", tile_no("bucket_rows", "rep", TILE_ROWS)).withColumn("tiles", F.ceil(F.col("bucket_rows") / TILE_ROWS).cast("int"))
-    items = ["rep", "n_rows", "fids", "unit"]
+    items = ["rep", "n_rows", "fids", "vec"]
     tiles = materialize(pack(placed, [*bucket, "tiles", "tile"], items), "tiles")
     side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in items]
     none = [F.lit(None).cast(dict(tiles.dtypes)[c]).alias(f"b_{c}") for c in items]
-    own = tiles.where(F.size("rep") > 1).select("fid", *side("a"), *none)
+    own = tiles.where(F.size("rep") > 1).select("dim", "fid", *side("a"), *none)
     many = tiles.where("tiles > 1")
     pairs = many.select(*bucket, F.explode(F.expr("filter(sequence(0, tiles - 1), t -> t > tile)")).alias("tile"), *side("a")).join(many.select(*bucket, "tile", *side("b")), [*bucket, "tile"])
     links = materialize(own.unionByName(pairs.select(*own.columns)).mapInArrow(_verify(threshold), "id long, other long, links long"), "links")
