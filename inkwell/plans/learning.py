@@ -26,7 +26,7 @@ _H = lambda *p: "md5('" + ln.SEED + "|' || " + " || '|' || ".join(p) + ")"  # no
     "book_split",
     f"""WITH b AS (SELECT DISTINCT source AS author, lang AS book FROM documents), r AS (SELECT author, book, row_number() OVER (PARTITION BY author ORDER BY {_H('author', 'book')}) AS r, count(*) OVER (PARTITION BY author) AS n FROM b),
 s AS (SELECT *, CASE WHEN n > 2 THEN least(greatest(2, round_even(n * 0.6, 0)::INT), n - 2) ELSE least(2, n) END AS tr, greatest(1, round_even(n * 0.2, 0)::INT) AS va FROM r)
-SELECT author, book, CASE WHEN r <= tr THEN 'train' WHEN r <= tr + va THEN 'validation' ELSE 'test' END AS split FROM s""",
+SELECT author, book, CASE WHEN n = 1 OR n = 2 AND r = 2 THEN 'test' WHEN n = 2 THEN 'validation' WHEN r <= tr THEN 'train' WHEN r <= tr + va THEN 'validation' ELSE 'test' END AS split FROM s""",
 )
 def book_split(spark, sf_dir):
     return ln.book_split(_texts(spark, sf_dir))
