@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
 from inkwell.operators import stylometry, tfidf
+from inkwell.operators.medians import medians
 from inkwell.storage import materialize
 
 MAD_TO_DEVIATION, TINY = 1.4826, 1e-6
@@ -32,11 +33,13 @@ def views(docs: DataFrame, id_col: str = "doc_id", author_col: str = "source", t
 
 
 def profile_stats(long: DataFrame) -> DataFrame:
-    """(author, kind, feature, n, mean, sd, median, mad); medians are exact, over the texts of one author at a time."""
-    first = long.groupBy("author", "kind", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.median("value").alias("median"))
-    first = materialize(first, "profiles")
-    spread = long.join(first.select("author", "kind", "feature", "median"), ["author", "kind", "feature"]).groupBy("author", "kind", "feature").agg((F.median(F.abs(F.col("value") - F.col("median"))) * MAD_TO_DEVIATION).alias("mad"))
-    return first.join(spread, ["author", "kind", "feature"])
+    """(author, kind, feature, n, mean, sd, median, mad); medians are exact, also of authors with most of the texts."""
+    keys = ["author", "kind", "feature"]
+    first = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    middle = materialize(medians(long, keys, "value", "id"), "medians")
+    gaps = materialize(long.join(middle, keys).select(*keys, "id", F.abs(F.col("value") - F.col("median")).alias("gap")), "gaps")
+    spread = medians(gaps, keys, "gap", "id").select(*keys, (F.col("median") * MAD_TO_DEVIATION).alias("mad"))
+    return materialize(first.join(middle, keys).join(spread, keys), "profiles")
 
 
 def view_similarity(long: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
@@ -80,10 +81,10 @@ def training_pairs(spark, sf_dir):
 )
 def reference_split(spark, sf_dir):
     """The 21 texts of each author that make the profile, and those left to be shown."""
-    from pyspark.sql import Window
-
+    texts = _texts(spark, sf_dir).select("author", "doc_id")
     r = F.row_number().over(Window.partitionBy("author").orderBy(ln.keyed_hash("doc_id")))
-    return _texts(spark, sf_dir).select("author", r.alias("r")).groupBy("author").agg(F.count_if(F.col("r") <= 21).alias("n_profile"), F.count_if(F.col("r") > 21).alias("n_unseen"))
+    profile = texts.withColumn("r", r).where("r <= 21").groupBy("author").agg(F.count("*").alias("n_profile"))  # at most 21 of an author reach a task from each other
+    return texts.groupBy("author").agg(F.count("*").alias("n")).join(profile, "author").select("author", "n_profile", (F.col("n") - F.col("n_profile")).alias("n_unseen"))
 
 
 def _style(spark, sf_dir):

@@ -188,3 +188,15 @@ def test_overlap_of_a_stream(spark, tmp_path, sf_dir):
     stream = spark.readStream.schema(bench.schema).parquet(str(tmp_path / "in"))
     overlap_batches(stream, index, "item_id", "text", lambda df, _: seen.extend(df.collect())).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(90)
     assert len(seen) == bench.count() and all(r.percent == 100.0 for r in seen if r.positions)
+
+
+def test_medians_of_ties_nulls_and_many_rows(spark, monkeypatch):
+    from inkwell.operators.medians import medians
+
+    monkeypatch.setattr(skew, "HOT_LEAST", 10)
+    rng = np.random.default_rng(11)
+    groups = {0: [1.5], 1: [2.0, 1.0], 2: [0.0] * 900 + [3.0] * 100, 3: rng.standard_normal(30_001).tolist(), 4: rng.integers(0, 50, 20_000).astype(float).tolist(), 5: [1.0, 1.0, 2.0, 2.0]}
+    rows = [(k, n, v) for k, values in groups.items() for n, v in enumerate(values)] + [(0, 99, None), (6, 1, None)]
+    got = {r.k: r.median for r in medians(spark.createDataFrame(rows, "k int, id long, v double"), ["k"], "v", "id").collect()}
+    assert got == {k: float(np.median(v)) for k, v in groups.items()}
+    assert medians(spark.createDataFrame([], "k int, id long, v double"), ["k"], "v", "id").count() == 0
