@@ -17,6 +17,8 @@ MATCH, MISMATCH = 0.9261, 0.7589
 SHORT_WORDS, UNSURE_WORDS = 200, 800
 LEAST_TEXTS, LEAST_WORDS, GOOD_TEXTS, GOOD_WORDS, SHORT_TEXT, LOOSE = 3, 1500, 5, 4000, 150, 0.15
 ROUNDS = 30
+#: Words from which a paragraph's style is judged, the score up to which its tier is red, and from which it is green.
+STYLE_WORDS, STYLE_RED, STYLE_GREEN = 25, 0.33, 0.80
 
 
 def views(docs: DataFrame, id_col: str = "doc_id", author_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -128,3 +130,24 @@ def verdict(words: Column, quality: Column, foreign: Column, score: Column) -> C
 def confidence(words: Column, quality: Column, score: Column) -> Column:
     sure = (score >= MATCH) | (score <= MISMATCH)
     return F.when(words < UNSURE_WORDS, "very_low").when((quality == "insufficient") | ~sure, "low").when(quality == "limited", "medium").otherwise("high")
+
+
+def blended(score: Column, impostor_score: Column, n_texts: Column) -> Column:
+    """The score joined with the share of impostors beaten, which counts for less the more texts a profile has."""
+    weight = F.least(F.greatest(0.5 - 0.05 * n_texts, F.lit(0.05)), F.lit(0.45))
+    return (1 - weight) * score + weight * impostor_score
+
+
+def reason(words: Column, quality: Column, foreign: Column) -> Column:
+    """Why a verdict is withheld whatever the score: short, profile or script; empty where the score decides."""
+    return F.when(words < SHORT_WORDS, "short").when(quality == "insufficient", "profile").when(foreign, "script").otherwise("")
+
+
+def deduplicated(texts: DataFrame, author: str = "author", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(author, fingerprint, id, n_words, n_copies): of an author's texts that are alike but for case and blanks, the one of the smallest id."""
+    rows = texts.select(F.col(author).alias("author"), tx.fingerprint(F.col(text_col)).alias("fingerprint"), F.col(id_col).alias("id"), tx.word_count(F.col(text_col)).alias("n_words"))
+    return rows.groupBy("author", "fingerprint").agg(F.min("id").alias("id"), F.min_by("n_words", "id").alias("n_words"), F.count("*").alias("n_copies"))
+
+
+def style_tier(x: Column) -> Column:
+    return F.when(x <= STYLE_RED, "red").when(x >= STYLE_GREEN, "green").when(x.isNotNull(), "yellow")

@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-for _module in ("dedupe", "cleaning", "structure", "features", "machine_text", "chunks", "profiles", "scores", "learning", "store"):
+for _module in ("dedupe", "cleaning", "structure", "features", "machine_text", "chunks", "profiles", "scores", "learning", "verdicts", "store"):
     importlib.import_module(f"inkwell.plans.{_module}")
