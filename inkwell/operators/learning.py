@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +79,49 @@ def predictions(model, rows: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(rows).select(*keep, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("p"))
 
 
+def _bases(rows: DataFrame, features: list[str], label: str) -> list[tuple]:
+    """The stack's base models fitted on rows: (name, features, model, its classes), each giving a number for each class.
+
+    A linear machine for each class against the rest, and two regressions of different strength; the machines'
+    margins are calibrated by the regression over all of them.
+    """
+    known = sorted(r[0] for r in rows.select(label).distinct().collect())  # a row for each class
+    numbered = F.create_map(*(F.lit(float(x)) for k, c in enumerate(known) for x in (c, k)))
+    stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
+    prepared = Pipeline(stages=stages).fit(rows)
+    ready = prepared.transform(rows.withColumn("_ink_label", numbered[F.col(label)]))
+    regression = lambda reg: LogisticRegression(labelCol="_ink_label", maxIter=100, regParam=reg, probabilityCol="margins", rawPredictionCol="_ink_raw", predictionCol="_ink_class")
+    machines = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01, rawPredictionCol="margins"), labelCol="_ink_label", rawPredictionCol="margins", predictionCol="_ink_class", parallelism=8)
+    return [(name, prepared, model.fit(ready), known) for name, model in (("machines", machines), ("weak", regression(0.001)), ("strong", regression(0.1)))]
+
+
+def _said(models: list[tuple], rows: DataFrame, keep: list[str], classes: int) -> DataFrame:
+    """keep and meta, the numbers of all base models in the order of classes; 0 for a class that a model has not seen."""
+    for name, prepared, model, known in models:
+        own = model.transform(prepared.transform(rows)).select(*rows.columns, vector_to_array("margins").alias("_ink_own"))
+        every = F.array(*(F.col("_ink_own")[known.index(c)] if c in known else F.lit(0.0) for c in range(classes)))
+        rows = own.withColumn(f"_ink_{name}", every).drop("_ink_own")
+    return rows.select(*keep, array_to_vector(F.concat(*(f"_ink_{m[0]}" for m in models))).alias("features"))
+
+
+def stack(train: DataFrame, judged: DataFrame, features: list[str], label: str, group: str, keep: list[str], folds: int = 2) -> DataFrame:
+    """keep, the predicted class and the class probabilities of judged, by a regression over three base models.
+
+    The regression learns from what base models say of rows whose groups they were not fitted on; the base
+    models that judge are then fitted on all of train. label is a double from 0 with two classes at least in
+    every fold; both tables are read several times, so pass written ones.
+    """
+    classes = int(train.agg(F.max(label)).first()[0]) + 1
+    folded = train.withColumn("_ink_fold", fold(F.col(group), folds))
+    outside = None
+    for k in range(folds):
+        models = _bases(folded.where(F.col("_ink_fold") != k), features, label)
+        part = materialize(_said(models, folded.where(F.col("_ink_fold") == k), [label], classes), f"stack-{k}")
+        outside = part if outside is None else outside.unionByName(part)
+    final = LogisticRegression(labelCol=label, maxIter=100, regParam=0.01).fit(outside)
+    return predictions(final, _said(_bases(train, features, label), judged, keep, classes), keep)
+
+
 def index_labels(rows: DataFrame, column: str, out: str) -> DataFrame:
     return StringIndexer(inputCol=column, outputCol=out, stringOrderType="alphabetAsc").fit(rows).transform(rows)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as tx
 from inkwell.operators import learning as ln
 from inkwell.operators import machine_text as mt
+from inkwell.operators import metrics as mx
 from inkwell.operators import stylometry as st
 from inkwell.plans import snippets as sq
 from inkwell.plans.registry import query
@@ -103,6 +104,16 @@ def attribution_predictions(spark, sf_dir):
     return got.select("doc_id", "author", F.col("label").cast("int").alias("label"), "fold", "predicted", F.array_max("p").alias("p"))
 
 
+@query("attribution_stack")
+def attribution_stack(spark, sf_dir):
+    """The same by a regression over three base models, which has seen only what they say of books they were not fitted on."""
+    rows, names = _style(spark, sf_dir)
+    rows = ln.index_labels(rows, "author", "label").withColumn("work", F.concat("author", F.lit("::"), "book")).withColumn("fold", ln.fold(F.col("work")))
+    rows = materialize(rows, "labelled")
+    got = ln.stack(rows.where("fold <> 0"), rows.where("fold = 0"), names, "label", "work", ["doc_id", "author", "label"])
+    return got.select("doc_id", "author", F.col("label").cast("int").alias("label"), "predicted", F.array_max("p").alias("p"))
+
+
 @query("verifier_scores")
 def verifier_scores(spark, sf_dir):
     """The chance that a text is its author's, from a balanced regression on drawn pairs of a text and a profile.
@@ -122,6 +133,42 @@ def verifier_scores(spark, sf_dir):
     return ln.predictions(model, pairs, ["draw", "doc_id", "to", "label"]).select("draw", "doc_id", "to", F.col("label").cast("int").alias("label"), F.col("p")[1].alias("p"))
 
 
+#: Texts of a profile and texts asked about, of each author at most, as the validation draws them.
+PROFILE_TEXTS, ASKED_TEXTS = 40, 40
+
+
+@query("verifier_validation")
+def verifier_validation(spark, sf_dir):
+    """The metrics of a verifier on books and pairs it was not fitted on, one author being kept out of everything.
+
+    It is fitted on pairs drawn from the training books. Of the validation books, texts drawn by hash are held
+    against their author's profile of training texts and against that of the author who follows in a ring.
+    """
+    rows, names = _style(spark, sf_dir)
+    rows = rows.where(F.col("author") != OPEN_SET)
+    rows = materialize(rows.join(ln.book_split(rows), ["author", "book"]), "split")
+    train = rows.where("split = 'train'")
+    spread = train.agg(*(F.stddev_pop(c).alias(c) for c in names)).first()
+    apart = [(F.abs(F.col(c) - F.col(f"p_{c}")) / max(spread[c] or 0.0, 1e-6)).alias(c) for c in names]
+    sides = lambda df: df.withColumn("x", F.explode(F.array(F.struct(F.col("author").alias("to"), F.lit(1.0).alias("label")), F.struct(F.col("rival").alias("to"), F.lit(0.0).alias("label")))))
+
+    sums = train.groupBy("author", "book").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names)).withColumnRenamed("author", "to")
+    drawn = sides(ln.draws(train)).select("draw", "held_out", F.col("query_id").alias("doc_id"), "x.to", "x.label")
+    profile = drawn.join(sums, "to").where((F.col("label") == 0) | (F.col("book") != F.col("held_out"))).groupBy("draw", "doc_id", "to", "label").agg(*((F.sum(c) / F.sum("n")).alias(f"p_{c}") for c in names))
+    pairs = materialize(profile.join(train.select("doc_id", *names), "doc_id").select("label", *apart), "pairs")
+    model, _ = ln.logistic(pairs, names, "label", 1 / (0.5 * max(pairs.count(), 1)), weighted=True)
+
+    r = F.row_number().over(Window.partitionBy("author").orderBy(ln.keyed_hash("doc_id")))
+    first = lambda df, k: df.select("doc_id", "author").withColumn("r", r).where(F.col("r") <= k).drop("r")
+    means = first(train, PROFILE_TEXTS).join(train.drop("author"), "doc_id").groupBy(F.col("author").alias("to")).agg(*(F.avg(c).alias(f"p_{c}") for c in names))
+    ring = Window.orderBy(ln.keyed_hash("author"))  # a row for each author
+    follow = means.select(F.col("to").alias("author")).withColumn("rival", F.coalesce(F.lead("author").over(ring), F.first("author").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    asked = sides(first(rows.where("split = 'validation'"), ASKED_TEXTS).join(follow, "author")).select("doc_id", "x.to", "x.label")
+    held = asked.join(means, "to").join(rows.select("doc_id", *names), "doc_id").select("doc_id", "to", "label", *apart)
+    scores = ln.predictions(model, held, ["label"]).select(F.col("p")[1].alias("score"), (F.col("label") == 1).alias("positive"))
+    return mx.report(mx.curve(mx.histogram(scores)))
+
+
 @query("ai_classifier_scores")
 def ai_classifier_scores(spark, sf_dir):
     """The chance that a turn is a machine's, from the surface measures; turns of fewer than 40 alphabetic words have none."""

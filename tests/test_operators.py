@@ -200,3 +200,26 @@ def test_medians_of_ties_nulls_and_many_rows(spark, monkeypatch):
     got = {r.k: r.median for r in medians(spark.createDataFrame(rows, "k int, id long, v double"), ["k"], "v", "id").collect()}
     assert got == {k: float(np.median(v)) for k, v in groups.items()}
     assert medians(spark.createDataFrame([], "k int, id long, v double"), ["k"], "v", "id").count() == 0
+
+
+def test_stack_tells_classes_apart_and_bears_a_fold_without_one(spark):
+    from inkwell.operators import learning
+
+    rng = np.random.default_rng(12)
+    rows = [(k, float(k % 3), f"g{k % 3}{k % 12 // 3}" if k % 3 else "only", float(rng.normal(k % 3 * 3)), float(rng.normal(-(k % 3)))) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, label double, work string, a double, b double")
+    got = learning.stack(df.where("id < 180"), df.where("id >= 180"), ["a", "b"], "label", "work", ["id", "label"]).collect()
+    assert len(got) == 60 and np.mean([r.predicted == r.label for r in got]) > 0.6
+    assert all(abs(sum(r.p) - 1) < 1e-9 and len(r.p) == 3 for r in got)
+
+
+def test_blend_reasons_and_composed_forms(spark):
+    from inkwell.functions.unicode import composed
+
+    rows = spark.createDataFrame([(1, 0.8, 0.2), (8, 0.8, 0.2), (30, 0.8, 0.2)], "n int, s double, i double")
+    got = [r[0] for r in rows.select(profiles.blended(F.col("s"), F.col("i"), F.col("n"))).collect()]
+    assert np.allclose(got, [0.55 * 0.8 + 0.45 * 0.2, 0.9 * 0.8 + 0.1 * 0.2, 0.95 * 0.8 + 0.05 * 0.2])
+    rows = spark.createDataFrame([(100, "good", False), (900, "insufficient", True), (900, "good", True), (900, "good", False)], "w int, q string, f boolean")
+    assert [r[0] for r in rows.select(profiles.reason(F.col("w"), F.col("q"), F.col("f"))).collect()] == ["short", "profile", "script", ""]
+    texts = spark.createDataFrame([("Cafe\u0301",), (None,), ("",), ("\u212b",)], "t string")
+    assert [r[0] for r in texts.select(composed("t")).collect()] == ["Caf\u00e9", None, "", "\u00c5"]
