@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.skew import join_groups
 from inkwell.storage import materialize
 
 #: Distinct sites (sources) from which a line counts as boilerplate.
@@ -28,19 +29,20 @@ def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Da
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h1, h2, first_id): lines that occur on min_sites or more distinct sites.
+    """(h1, h2, first_id, n_rows): lines that occur on min_sites or more distinct sites, with the rows that have them.
 
     Sketches of a line's sites are made by task and merged by aggregation, so a line on every page moves one
-    small row per task. Lines whose estimate is near the threshold get an exact distinct count.
+    small row per task. Lines whose estimate is near the threshold get an exact distinct count; rows of very
+    frequent ones among them are dealt to many tasks for it.
     """
     band = max(2.0, NEAR * min_sites)
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LOG2_BUCKETS)).alias("sites"), F.min("id").alias("first_id"))
-    judged = sketched.select("h1", "h2", "first_id", F.hll_sketch_estimate("sites").alias("estimate")).where(F.col("estimate") >= min_sites - band)
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LOG2_BUCKETS)).alias("sites"), F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
+    judged = sketched.select("h1", "h2", "first_id", "n_rows", F.hll_sketch_estimate("sites").alias("estimate")).where(F.col("estimate") >= min_sites - band)
     judged = materialize(judged, "line-sites")
     near = judged.where(F.col("estimate") <= min_sites + band)
-    counted = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
-    sure = judged.where(F.col("estimate") > min_sites + band).select("h1", "h2", "first_id")
-    return sure.unionByName(near.join(counted.where(F.col("exact") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first_id"))
+    counted = join_groups(lines, near, ["h1", "h2"], "n_rows", "id", "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    sure = judged.where(F.col("estimate") > min_sites + band).select("h1", "h2", "first_id", "n_rows")
+    return sure.unionByName(near.join(counted.where(F.col("exact") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first_id", "n_rows"))
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -54,7 +56,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     lines = site_lines(docs, id_col, text_col, site_col)
     found = materialize(boilerplate(lines, min_sites), "boilerplate")
-    hits = lines.join(found, ["h1", "h2"]).where(F.col("id") != F.col("first_id"))
+    hits = join_groups(lines, found, ["h1", "h2"], "n_rows", "id").where(F.col("id") != F.col("first_id"))
     cut = materialize(hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("_ink_cut")), "cut-lines")
     cut = cut.withColumnRenamed("id", "_ink_id")
     # The texts are shuffled at every size alike: what is cut has rows in proportion to the documents.
