@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.line_dedup import drop_boilerplate
 from inkwell.llm.mixing import TARGETS, in_order
+from inkwell.llm.near_copies import near_copies
 from inkwell.llm.pieces import encode
-from inkwell.llm.simhash import near_duplicates
 from inkwell.llm.toxicity import clean_documents
 from inkwell.storage import materialize
 
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id. Rows without id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+    """One document of each group of near copies (five-word Jaccard 0.8 or more): that with the smallest id. Rows without id stay."""
+    found = near_copies(docs.select("doc_id", "text"))
     gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # gone grows with the copies: never broadcast
     return kept.select(*docs.columns)
