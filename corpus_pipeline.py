@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.line_dedup import drop_boilerplate
+from inkwell.llm.line_dedup import LONG_SITES, drop_boilerplate
 from inkwell.llm.mixing import TARGETS, in_order
 from inkwell.llm.near_copies import near_copies
 from inkwell.llm.pieces import encode
@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with cross-site boilerplate lines taken out; n_chars follows the text that stays."""
-    cut = drop_boilerplate(docs)
+    """docs with cross-site boilerplate lines taken out, passages from a few sites on; n_chars follows the text that stays."""
+    cut = drop_boilerplate(docs, long_sites=LONG_SITES)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

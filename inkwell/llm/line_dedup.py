@@ -10,6 +10,8 @@ from inkwell.storage import materialize
 
 #: Distinct sites (sources) from which a line counts as boilerplate.
 MIN_SITES = 10
+#: Words from which a line is a passage, and the distinct sites from which the pipeline takes one for boilerplate.
+LONG_WORDS, LONG_SITES = 50, 3
 #: Estimates within this share of the threshold (and at least 2 sites) are counted exactly. The sketches'
 #: relative error is about 1.6 %, and far smaller for counts in the tens.
 NEAR = 0.15
@@ -21,41 +23,48 @@ def _line(line):
     return F.trim(line, F.lit(_TRIMMED))
 
 
-def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(h1, h2, site, id, pos): the non-blank lines of every text by a 128-bit hash; a null site is one of its own."""
+def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int = MIN_SITES, long_sites: int | None = None) -> DataFrame:
+    """(h1, h2, need, site, id, pos): the non-blank lines of every text by a 128-bit hash; a null site is one of its own.
+
+    need is the number of sites that makes a line boilerplate: long_sites, if given, from LONG_WORDS words on.
+    """
+    need = F.lit(min_sites) if long_sites is None else F.when(F.size(F.split("line", r"\s+")) >= LONG_WORDS, long_sites).otherwise(min_sites)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     base = base.withColumn("line", _line(F.col("line"))).where("line <> ''")
-    return base.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "site", "id", "pos")
+    return base.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), need.alias("need"), "site", "id", "pos")
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h1, h2, first_id, n_rows): lines that occur on min_sites or more distinct sites, with the rows that have them.
+def boilerplate(lines: DataFrame) -> DataFrame:
+    """(h1, h2, first_id, n_rows): lines that occur on as many distinct sites as they need, with the rows that have them.
 
     Sketches of a line's sites are made by task and merged by aggregation, so a line on every page moves one
     small row per task. Lines whose estimate is near the threshold get an exact distinct count; rows of very
     frequent ones among them are dealt to many tasks for it.
     """
-    band = max(2.0, NEAR * min_sites)
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LOG2_BUCKETS)).alias("sites"), F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
-    judged = sketched.select("h1", "h2", "first_id", "n_rows", F.hll_sketch_estimate("sites").alias("estimate")).where(F.col("estimate") >= min_sites - band)
+    need = F.col("need")
+    # Sketches of a few sites hold them as they are, so a line of one site is not near where more are needed.
+    band = F.greatest(F.least(F.greatest(F.lit(2.0), NEAR * need), need - 1.5), F.lit(0.5))
+    sketched = lines.groupBy("h1", "h2", "need").agg(F.hll_sketch_agg("site", F.lit(LOG2_BUCKETS)).alias("sites"), F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
+    judged = sketched.select("h1", "h2", "need", "first_id", "n_rows", F.hll_sketch_estimate("sites").alias("estimate")).where(F.col("estimate") >= need - band)
     judged = materialize(judged, "line-sites")
-    near = judged.where(F.col("estimate") <= min_sites + band)
-    counted = join_groups(lines, near, ["h1", "h2"], "n_rows", "id", "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
-    sure = judged.where(F.col("estimate") > min_sites + band).select("h1", "h2", "first_id", "n_rows")
-    return sure.unionByName(near.join(counted.where(F.col("exact") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first_id", "n_rows"))
+    near = judged.where(F.col("estimate") <= need + band)
+    counted = join_groups(lines.drop("need"), near, ["h1", "h2"], "n_rows", "id", "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    sure = judged.where(F.col("estimate") > need + band).select("h1", "h2", "first_id", "n_rows")
+    return sure.unionByName(near.join(counted, ["h1", "h2"]).where(F.col("exact") >= need).select("h1", "h2", "first_id", "n_rows"))
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, long_sites: int | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of its texts, and the columns n_lines and n_removed.
 
     Lines are split at \\n and compared without blanks, tabs and carriage returns at their ends; blank lines
-    always stay. A line on min_sites or more distinct sites is removed everywhere but in the document with
+    always stay. A line on min_sites or more distinct sites (long_sites, if given, for one of LONG_WORDS words) is removed everywhere but in the document with
     the smallest id that has it, so no content leaves the corpus. Null texts stay null with 0 lines; rows of
     null id count for their site and are left as they are; repeated rows are treated alike. Columns of docs
     other than the three named are passed through; those of the added names are replaced.
     """
-    lines = site_lines(docs, id_col, text_col, site_col)
-    found = materialize(boilerplate(lines, min_sites), "boilerplate")
+    lines = site_lines(docs, id_col, text_col, site_col, min_sites, long_sites)
+    found = materialize(boilerplate(lines), "boilerplate")
+    lines = lines.drop("need")
     hits = join_groups(lines, found, ["h1", "h2"], "n_rows", "id").where(F.col("id") != F.col("first_id"))
     cut = materialize(hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("_ink_cut")), "cut-lines")
     cut = cut.withColumnRenamed("id", "_ink_id")

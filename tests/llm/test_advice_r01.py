@@ -54,3 +54,16 @@ def test_pipeline_near_copies_against_all_pairs(spark, monkeypatch, rows):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id for r in dict(cp.STAGES)["simhash"](spark, df, "").collect()}
     assert left == {i for i in root if root[i] == i}
+
+
+def test_pipeline_takes_passages_of_a_hot_source(spark):
+    """A passage of over 50 words in 20 documents, a third of them in one source; short lines and a passage on two sources stay."""
+    import corpus_pipeline as cp
+
+    passage, rare = " ".join(f"word{k}" for k in range(60)), " ".join(f"other{k}" for k in range(60))
+    sources = ["s0"] * 7 + [f"s{1 + k % 4}" for k in range(13)]
+    rows = [(k, f"own {k}\n{passage}\nshort line" + (f"\n{rare}" if k in (0, 8) else ""), "en", s, 0) for k, s in enumerate(sources)]
+    got = dict(cp.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    left = {r.doc_id: r.text for r in got.collect()}
+    assert {i for i, t in left.items() if passage in t} == {0}
+    assert all("short line" in t for t in left.values()) and {i for i, t in left.items() if rare in t} == {0, 8}
