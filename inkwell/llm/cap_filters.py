@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -18,6 +19,8 @@ from .tiles import pack, tile_no
 COSINE = 0.93
 #: Filters that a vector of uniform direction exceeds on average, and the fewest that any vector takes.
 FILTERS, LEAST_FILTERS = 16, 8
+#: Pairs at the threshold itself that may share no filter, and the pairs made from a seed that tell so.
+MISSED, TRIAL_PAIRS = 0.01, 2000
 #: Rows of the largest label that a filter should hold on average.
 BUCKET = 48
 TILE_ROWS = 1024
@@ -66,9 +69,45 @@ def list_decode(unit: np.ndarray, books: list[np.ndarray], bar: float, least: in
     return out
 
 
-def _decode(words: int):
+def _bar(dim: int, words: int) -> float:
+    return NormalDist().inv_cdf(1 - min(0.5, FILTERS / words**2)) / np.sqrt(dim)
+
+
+def _books(dim: int, words: int) -> list[np.ndarray]:
+    return [codebook(dim // 2, words), codebook(dim - dim // 2, words, SEED + 1)]
+
+
+def trial_pairs(dim: int, cosine: float, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of uniform direction and for each another one at exactly the cosine."""
+    rng = np.random.default_rng([seed, dim])
+    x = _unit(rng.standard_normal((pairs, dim)))
+    y = rng.standard_normal((pairs, dim))
+    y = _unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    return x, cosine * x + np.sqrt(max(1 - cosine**2, 0.0)) * y
+
+
+def miss_share(dim: int, words: int, least: int, cosine: float = COSINE, pairs: int = TRIAL_PAIRS, seed: int = SEED) -> float:
+    """The share of pairs at the cosine that have no filter in common."""
+    books, bar = _books(dim, words), _bar(dim, words)
+    a, b = (list_decode(x, books, bar, least) for x in trial_pairs(dim, cosine, pairs, seed))
+    return float(np.mean([not np.intersect1d(x, y, assume_unique=True).size for x, y in zip(a, b)]))
+
+
+@lru_cache(maxsize=256)
+def least_filters(dim: int, words: int, cosine: float = COSINE) -> int:
+    """The fewest filters a vector must take, LEAST_FILTERS or more, so that at most MISSED of the pairs at the cosine share none.
+
+    The bar rises with the number of words and leaves most vectors with their best filters alone, so it is
+    these that must grow with it for recall to be the same at every size.
+    """
+    least = LEAST_FILTERS
+    while least < words**2 and miss_share(dim, words, least, cosine) > MISSED:
+        least += max(least // 4, 1)
+    return min(least, words**2)
+
+
+def _decode(words: int, threshold: float = COSINE):
     """Arrow function: classes of equal vectors to a row for each filter."""
-    bar_z = NormalDist().inv_cdf(1 - min(0.5, FILTERS / words**2))
 
     def run(batches):
         books: dict[int, list[np.ndarray]] = {}
@@ -79,11 +118,11 @@ def _decode(words: int):
                 at = np.flatnonzero(sizes == dim)
                 x = _unit(np.array([batch.column("vec")[k].values.to_numpy(zero_copy_only=False) for k in at.tolist()], dtype=np.float64))
                 if dim not in books:
-                    books[dim] = [codebook(dim // 2, words), codebook(dim - dim // 2, words, SEED + 1)]
+                    books[dim] = _books(dim, words)
                 raw = [batch.column("vec")[k].values.to_numpy(zero_copy_only=False).astype(np.float64) for k in at.tolist()]
                 single = [r.astype(np.float32) for r in raw]  # half the bytes wherever nothing is lost
                 raw = [s if (s == r).all() else r for s, r in zip(single, raw)]
-                for k, u, fids in zip(at.tolist(), raw, list_decode(x, books[dim], bar_z / np.sqrt(dim)) if dim > 1 else [np.zeros(1, np.int64)] * len(at)):
+                for k, u, fids in zip(at.tolist(), raw, list_decode(x, books[dim], _bar(dim, words), least_filters(dim, words, threshold)) if dim > 1 else [np.zeros(1, np.int64)] * len(at)):
                     cols["row"] += [k] * len(fids)
                     cols["fid"] += fids.tolist()
                     cols["fids"] += [fids] * len(fids)
@@ -159,8 +198,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Equal vectors of a label are one class; classes meet in the spherical-cap filters that both exceed, each
     pair is verified by its cosine in double precision and counted in the first filter that both share. The
     number of filters follows the largest label, so that a filter's rows stay about BUCKET for vectors of
-    spread directions; fuller filters are compared tile by tile, whole. Candidates come from random filters:
-    recall was 1.0 of the pairs found by brute force on the tables at hand.
+    spread directions; fuller filters are compared tile by tile, whole. Candidates come from random filters,
+    as many a vector as keep the misses at the threshold to MISSED for the words and length at hand.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows of null label, link
     with nothing (n_links 0, own component); so do vectors of different lengths. Repeated rows link as equal
     vectors. An empty table gives an empty one; extra columns are not read.
@@ -175,7 +214,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     words = 16
     while words < 4096 and words * words * BUCKET < largest * FILTERS:
         words *= 2
-    filtered = classes.select("label", "rep", "n_rows", "vec").repartition("rep").mapInArrow(_decode(words), f"label {dict(rows.dtypes)['label']}, rep long, n_rows long, dim int, fid long, fids array<long>, vec binary")
+    filtered = classes.select("label", "rep", "n_rows", "vec").repartition("rep").mapInArrow(_decode(words, threshold), f"label {dict(rows.dtypes)['label']}, rep long, n_rows long, dim int, fid long, fids array<long>, vec binary")
     filtered = materialize(filtered, "filtered")
     bucket = ["label", "dim", "fid"]
     sizes = filtered.groupBy(*bucket).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
