@@ -61,16 +61,44 @@ WORDINGS: tuple[tuple[int, float, str], ...] = (
     (2, 0.85, "(?:under|subject to|governed by|see|permitted by) (?:the )?(?:terms of )?(?:the )?{}"),
     (1, 0.6, "{}"),
 )
+# Identifiers by label that are too short or too common to stand without a wording.
+IDENTIFIERS: dict[str, tuple[str, ...]] = {
+    "mit": ("mit(?: 0)?", "x11"),
+    "apache-2": ("apache 2(?: 0)?",),
+    "apache-1.1": ("apache 1 1",),
+    "bsd-2": ("bsd 2 clause",),
+    "bsd-3": ("bsd 3 clause",),
+    "bsd-4": ("bsd 4 clause",),
+    "isc": ("isc",),
+    "zlib": ("zlib",),
+    "unlicense": ("unlicense",),
+    "artistic-2": ("artistic 2(?: 0)?",),
+    "psf-2": ("psf 2 0", "python 2 0"),
+}
+# The wordings that identifiers need, as in WORDINGS.
+NAMED: tuple[tuple[int, float, str], ...] = (*WORDINGS[:3], (2, 0.85, "(?:under|subject to|governed by) (?:the )?(?:terms of )?(?:the )?{}"))
+# Sentences of the bodies of licenses.
+BODIES: dict[str, tuple[str, ...]] = {
+    "mit": ("permission is hereby granted free of charge to any person obtaining a copy",),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable",),
+    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted",),
+    "bsd-3": ("neither the name of (?:the )?(?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products",),
+    "bsd-4": ("all advertising materials mentioning features or use of this software must display the following acknowledge?ment",),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
+}
+#: Priority and score of a body.
+BODY = (5, 1.0)
 #: Score of a text whose only finds are base phrases.
 BASE_SCORE = 0.85
 #: Words of names that don't tell licenses apart.
 _COMMON = {"licen", "e", "general", "public", "software", "license", "version", "clause", "creative", "commons", "attribution", "the"}
 #: A text without any of these holds no signature.
-GATE = "licen[cs]|unlicense|cc  by|cc0|creative  commons|gpl|asl  2|mpl|epl|cddl|wtfpl|bsl|ofl|odbl|eupl|public  domain|rights  reserved"
+GATE = "permission  is  hereby|permission  to  use|redistribution  and  use|this  software  is  provided|names  of  its  contributors|advertising  materials|free  and  unencumbered|(?:under|by|of|to|the)  (?:mit|x11|apache|bsd|isc|zlib|artistic|psf|python) |licen[cs]|unlicense|cc  by|cc0|creative  commons|gpl|asl  2|mpl|epl|cddl|wtfpl|bsl|ofl|odbl|eupl|public  domain|rights  reserved"
 
 
 def signatures() -> list[tuple[int, float, str, str, str]]:
-    """(priority, score, label, keyword, pattern) of every rule: each wording with each name.
+    """(priority, score, label, keyword, pattern) of every rule: each wording with each name, those of NAMED with each identifier, and the bodies.
 
     Patterns are over words with one blank of their own on each side; the keyword is the longest telling word
     of the name, without which the pattern cannot match.
@@ -78,13 +106,14 @@ def signatures() -> list[tuple[int, float, str, str, str]]:
     import re
 
     rules = []
-    for label, names in NAMES.items():
-        for name in names:
-            plain = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\??|\[[^]]*\]\??|.\?", " ", name)
+    bodies = ((*BODY, "{}"),)
+    for table, wordings in ((NAMES, WORDINGS), (IDENTIFIERS, NAMED), (BODIES, bodies)):
+        for label, name in ((label, name) for label, names in table.items() for name in names):
+            plain = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)(?:\?|\{[^}]*\})?|\[[^]]*\]\??|.\?", " ", name)
             terms = re.findall("[a-z0-9]+", plain)
             keyword = max([w for w in terms if w not in _COMMON] or terms, key=len)
-            for priority, score, wording in WORDINGS:
-                pattern = wording.format(name).replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
+            for priority, score, wording in wordings:
+                pattern = wording.replace("{}", name).replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?").replace("[^  ]", "[^ ]")
                 rules.append((priority, score, label, keyword, f" {pattern} "))
     return rules
 

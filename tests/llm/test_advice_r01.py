@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from inkwell.llm import cap_filters, near_copies
+from inkwell.llm import cap_filters, licenses, near_copies
 
 
 def five_words(text):
@@ -73,3 +73,24 @@ def test_pipeline_takes_passages_of_a_hot_source(spark):
 def test_vectors_are_found_at_any_number_of_words(words):
     """Pairs at cosine 0.93 itself, of another seed than the one that set the filters."""
     assert cap_filters.miss_share(64, words, cap_filters.least_filters(64, words), pairs=1000, seed=77) <= 0.02
+
+
+SPDX = {
+    "MIT": "mit", "X11": "mit", "Apache-2.0": "apache-2", "Apache-1.1": "apache-1.1", "BSD-2-Clause": "bsd-2", "BSD-3-Clause": "bsd-3", "BSD-4-Clause": "bsd-4", "ISC": "isc", "Zlib": "zlib", "Unlicense": "unlicense",
+    "Artistic-2.0": "artistic-2", "PSF-2.0": "psf-2", "GPL-2.0-only": "gpl-2", "GPL-3.0-or-later": "gpl-3", "LGPL-2.1-only": "lgpl-2.1", "LGPL-3.0-only": "lgpl-3", "AGPL-3.0-only": "agpl-3", "MPL-2.0": "mpl-2", "MPL-1.1": "mpl-1.1",
+    "EPL-1.0": "epl-1", "EPL-2.0": "epl-2", "CDDL-1.0": "cddl-1", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-ND-4.0": "cc-by-nd", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-NC-SA-4.0": "cc-by-nc-sa",
+    "CC-BY-NC-ND-4.0": "cc-by-nc-nd", "WTFPL": "wtfpl", "BSL-1.0": "boost-1", "OFL-1.1": "ofl-1.1", "ODbL-1.0": "odbl-1", "EUPL-1.2": "eupl-1.2",
+}
+BODIES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable",
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_license_identifiers_and_bodies(spark):
+    cases = [(f"SPDX-License-Identifier: {i}", label) for i, label in SPDX.items()] + [(f"code licensed under {i} here", label) for i, label in SPDX.items()] + [("it is under Apache-2.0", "apache-2")]
+    cases += [(text, label) for label, text in BODIES.items()] + [("er kam mit license plates", None), ("the isc and zlib", None)]
+    got = {r.id: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    wrong = [(t, got[k].labels) for k, (t, label) in enumerate(cases) if (label in got[k].labels.split(",") and got[k].score > 0.8) != (label is not None)]
+    assert wrong == []
