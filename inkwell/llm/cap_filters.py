@@ -18,12 +18,17 @@ from .tiles import pack, tile_no
 
 COSINE = 0.93
 #: Filters that a vector of uniform direction exceeds on average, and the fewest that any vector takes.
-FILTERS, LEAST_FILTERS = 16, 8
+FILTERS, LEAST_FILTERS = 6, 6
 #: Pairs at the threshold itself that may share no filter, and the pairs made from a seed that tell so.
 MISSED, TRIAL_PAIRS = 0.01, 2000
-#: Rows of the largest label that a filter should hold on average.
-BUCKET = 48
-TILE_ROWS = 1024
+#: Code words of a half, and the rows of the largest label that a group (the filters of one first word) should hold.
+LEAST_WORDS, MOST_WORDS, GROUP = 16, 4096, 16_384
+#: Rows of a group that are compared in one task; a larger one is cut into its filters, and these into tiles.
+GROUP_ROWS, TILE_ROWS = 65_536, 8_192
+#: Rows decoded at a time, and rows of a block of cosines.
+_SLICE, _BLOCK = 256, 1024
+#: Best words of a half that are looked at first when filters are listed.
+_BEST = 96
 SEED = 20
 
 
@@ -42,30 +47,45 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _ranked(scores: np.ndarray, most: int) -> np.ndarray:
+    """The places of the `most` best scores of each row, best first."""
+    if most < scores.shape[1]:
+        some = np.argpartition(-scores, most, axis=1)[:, :most]
+        return np.take_along_axis(some, np.argsort(-np.take_along_axis(scores, some, axis=1), axis=1, kind="stable"), axis=1)
+    return np.argsort(-scores, axis=1, kind="stable")
+
+
 def list_decode(unit: np.ndarray, books: list[np.ndarray], bar: float, least: int = LEAST_FILTERS) -> list[np.ndarray]:
     """For each unit vector the sorted numbers of the product filters whose direction it exceeds by the bar.
 
-    A filter's direction is a code word of the first half followed by one of the second, over sqrt 2. The
-    second half's products are sorted once a vector, so each first word takes a prefix of them and words too
-    weak for any partner are left out. A vector with fewer than `least` such filters takes its best ones.
+    A filter's direction is a code word of the first half followed by one of the second, over sqrt 2. The best
+    words of both halves are ranked once a vector, so each first word takes a prefix of the second ones; where
+    a word that was not ranked could still exceed the bar, all are. A vector with fewer than `least` such
+    filters takes its best ones. Vectors are decoded in slices, which bounds the memory at any number of words.
     """
-    half, words = unit.shape[1] // 2, len(books[1])
-    first, second = unit[:, :half] @ books[0].T, unit[:, half:] @ books[1].T
-    order = np.argsort(-second, axis=1)
-    out = []
-    for a, b, o in zip(first, second, order):
-        ranked, need = b[o], bar * np.sqrt(2) - a
-        strong = np.flatnonzero(need <= ranked[0])
-        takes = np.searchsorted(-ranked, -need[strong], side="right")
-        if takes.sum() < least:
-            k = min(least, len(a), words)
-            top = np.argsort(-a)[:k]
-            sums = a[top][:, None] + ranked[None, :k]
-            best = np.argsort(-sums, axis=None)[: min(least, sums.size)]
-            found = top[best // k] * words + o[best % k]
-        else:
-            found = np.concatenate([i * words + o[:n] for i, n in zip(strong.tolist(), takes.tolist())])
-        out.append(np.sort(found).astype(np.int64))
+    half, words, out = unit.shape[1] // 2, len(books[1]), []
+    least, need = min(least, words * words), bar * np.sqrt(2)
+    for lo in range(0, len(unit), _SLICE):
+        some = unit[lo : lo + _SLICE]
+        first, second = some[:, :half] @ books[0].T, some[:, half:] @ books[1].T
+        best = max(_BEST, least)
+        at_a, at_b = _ranked(first, best), _ranked(second, best)
+        for k in range(len(some)):
+            oa, ob = at_a[k], at_b[k]
+            a, b = first[k, oa], second[k, ob]
+            if len(oa) < words and (a[-1] + b[0] >= need or a[0] + b[-1] >= need):
+                oa, ob = np.argsort(-first[k], kind="stable"), np.argsort(-second[k], kind="stable")
+                a, b = first[k, oa], second[k, ob]
+            strong = int(np.searchsorted(-a, b[0] - need, side="right"))
+            takes = np.searchsorted(-b, a[:strong] - need, side="right")
+            if takes.sum() < least:
+                n = min(least, words)
+                sums = a[:n, None] + b[None, :n]
+                top = np.argsort(-sums, axis=None, kind="stable")[:least]
+                found = oa[top // n] * words + ob[top % n]
+            else:
+                found = np.concatenate([i * words + ob[:n] for i, n in zip(oa[:strong].tolist(), takes.tolist())])
+            out.append(np.sort(found).astype(np.int32))
     return out
 
 
@@ -100,139 +120,223 @@ def least_filters(dim: int, words: int, cosine: float = COSINE) -> int:
     The bar rises with the number of words and leaves most vectors with their best filters alone, so it is
     these that must grow with it for recall to be the same at every size.
     """
+    if dim < 2:
+        return 1
     least = LEAST_FILTERS
     while least < words**2 and miss_share(dim, words, least, cosine) > MISSED:
         least += max(least // 4, 1)
     return min(least, words**2)
 
 
-def _decode(words: int, threshold: float = COSINE):
-    """Arrow function: classes of equal vectors to a row for each filter."""
+def words_for(rows: int) -> int:
+    """Code words of a half for a label of so many vectors: the fewest that keep its groups about GROUP rows."""
+    words = LEAST_WORDS
+    while words < MOST_WORDS and rows * 4 > GROUP * words:  # a vector's filters have some four first words
+        words *= 2
+    return words
+
+
+def _decode(words: int, threshold: float, least: dict[int, int], kind: type):
+    """Arrow function: classes of equal vectors with their filters and their vector as bytes."""
 
     def run(batches):
         books: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column("vec")])
-            cols = {k: [] for k in ("row", "fid", "fids", "vec")}
+            vec = batch.column("vec")
+            values, starts = vec.values.to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
+            sizes = np.diff(starts)
+            fids, raw = [None] * len(sizes), [b""] * len(sizes)
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                x = _unit(np.array([batch.column("vec")[k].values.to_numpy(zero_copy_only=False) for k in at.tolist()], dtype=np.float64))
+                own = values[starts[at][:, None] + np.arange(dim)].astype(kind)
                 if dim not in books:
-                    books[dim] = _books(dim, words)
-                raw = [batch.column("vec")[k].values.to_numpy(zero_copy_only=False).astype(np.float64) for k in at.tolist()]
-                single = [r.astype(np.float32) for r in raw]  # half the bytes wherever nothing is lost
-                raw = [s if (s == r).all() else r for s, r in zip(single, raw)]
-                for k, u, fids in zip(at.tolist(), raw, list_decode(x, books[dim], _bar(dim, words), least_filters(dim, words, threshold)) if dim > 1 else [np.zeros(1, np.int64)] * len(at)):
-                    cols["row"] += [k] * len(fids)
-                    cols["fid"] += fids.tolist()
-                    cols["fids"] += [fids] * len(fids)
-                    cols["vec"] += [u.tobytes()] * len(fids)
-            take = pa.array(cols["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(take) for c in ("label", "rep", "n_rows")] + [pa.array(sizes[np.array(cols["row"], dtype=np.int64)].astype(np.int32)), pa.array(cols["fid"], pa.int64()), pa.array(cols["fids"], pa.list_(pa.int64())), pa.array(cols["vec"], pa.binary())],
-                names=["label", "rep", "n_rows", "dim", "fid", "fids", "vec"],
-            )
+                    books[dim] = _books(dim, words) if dim > 1 else []
+                found = list_decode(_unit(own.astype(np.float64)), books[dim], _bar(dim, words), least.get(dim) or least_filters(dim, words, threshold)) if dim > 1 else [np.zeros(1, np.int32)] * len(at)
+                for k, f, x in zip(at.tolist(), found, own):
+                    fids[k], raw[k] = f, x.tobytes()
+            made = [pa.array(sizes.astype(np.int32)), pa.array(fids, pa.list_(pa.int32())), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in _CLASS] + made, names=[*_CLASS, "dim", "fids", "vec"])
 
     return run
 
 
-def _verify(threshold: float):
-    """Arrow function: tiles of one filter to (id, other, links): links counted, and a forest's edges, by exact cosines."""
+_CLASS = ["label", "h1", "h2", "rep", "n_rows"]
+
+
+class _Rows:
+    """Vectors of a group or tile: unit vectors, ids, rows of their classes, and their filters."""
+
+    def __init__(self, got: dict, side: str, kind: type):
+        vec, fids = got[f"{side}vec"].values, got[f"{side}fids"].values
+        self.ids, self.n = (got[f"{side}{c}"].values.to_numpy(zero_copy_only=False) for c in ("rep", "n_rows"))
+        self.x = _unit(np.frombuffer(b"".join(v.as_py() for v in vec), kind).reshape(len(vec), -1).astype(np.float64))
+        self.ends, self.flat = fids.offsets.to_numpy(), fids.values.to_numpy(zero_copy_only=False)
+
+    def fids(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] : self.ends[k + 1]]
+
 
-    def earlier(mine: list, theirs: list, fid: int) -> np.ndarray:
-        """Whether two rows share a filter before this one, which then counts their link."""
-        own = [[f for f in fids if f < fid] for fids in (*mine, *theirs)]
-        rows = np.repeat(np.arange(len(own)), [len(f) for f in own])
-        names, where = np.unique(np.concatenate([*map(np.asarray, own), []]).astype(np.int64), return_inverse=True)
-        held = np.zeros((len(own), len(names)), np.float32)
-        held[rows, where] = 1
-        return held[: len(mine)] @ held[len(own) - len(theirs) :].T > 0
+def _earlier(fids: list[np.ndarray], cut: int, fid: int) -> np.ndarray:
+    """Whether a row of the first `cut` and one of the rest share a filter before this one, which then counts their link."""
+    own = [f[: np.searchsorted(f, fid)] for f in fids]
+    rows = np.repeat(np.arange(len(own)), [len(f) for f in own])
+    names, where = np.unique(np.concatenate([*own, np.empty(0, np.int32)]), return_inverse=True)
+    held = np.zeros((len(own), len(names)), np.float32)
+    held[rows, where] = 1
+    return held[:cut] @ held[cut:].T > 0
+
+
+class _Links:
+    """What comparisons find: (id, smallest id of its local component, links) a row."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.node, self.peer, self.links = threshold, [], [], []
+
+    def compare(self, a: _Rows, at_a: np.ndarray, b: _Rows, at_b: np.ndarray, fid: int) -> None:
+        """Rows of one filter, all pairs in blocks; the same rows on both sides are compared once."""
+        same = a is b and at_a is at_b
+        for lo in range(0, len(at_a), _BLOCK):
+            for hi in range(lo if same else 0, len(at_b), _BLOCK):
+                p, q = at_a[lo : lo + _BLOCK], at_b[hi : hi + _BLOCK]
+                near = a.x[p] @ b.x[q].T >= self.threshold
+                if same and lo == hi:
+                    near &= np.tri(len(p), k=-1, dtype=bool).T
+                i, j = np.nonzero(near)
+                if len(i):
+                    self._add(a, p[i], b, q[j], fid)
+
+    def _add(self, a: _Rows, i: np.ndarray, b: _Rows, j: np.ndarray, fid: int) -> None:
+        rows_i, rows_j = np.unique(i), np.unique(j)
+        seen = _earlier([a.fids(k) for k in rows_i.tolist()] + [b.fids(k) for k in rows_j.tolist()], len(rows_i), fid)
+        new = ~seen[np.searchsorted(rows_i, i), np.searchsorted(rows_j, j)]
+        i, j = i[new], j[new]
+        ids, where = np.unique(np.concatenate([a.ids[i], b.ids[j]]), return_inverse=True)
+        src, dst = where[: len(i)], where[len(i) :]
+        degree = np.bincount(src, b.n[j], len(ids)) + np.bincount(dst, a.n[i], len(ids))
+        self.node.append(ids)
+        self.peer.append(ids[local_forest(len(ids), src, dst)])
+        self.links.append(degree.astype(np.int64))
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.empty(0, np.int64)])) for x in (self.node, self.peer, self.links)], names=["id", "other", "links"])
+
+
+def _verify_groups(words: int, threshold: float, kind: type):
+    """Arrow function: groups, of which each filter's rows are compared; links are counted in the first filter of both rows."""
 
     def run(batches):
         for batch in batches:
-            node, peer, links = [], [], []
+            links = _Links(threshold)
             for k in range(batch.num_rows):
                 got = {c: batch.column(c)[k] for c in batch.schema.names}
-                fid = got["fid"].as_py()
-                dim = got["dim"].as_py()
-
-                def side(s, got=got, dim=dim):
-                    raw = [x.as_py() for x in got[f"{s}_vec"]]
-                    x = np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
-                    return _unit(x), got[f"{s}_rep"].values.to_numpy(zero_copy_only=False), got[f"{s}_n_rows"].values.to_numpy(zero_copy_only=False), [f.as_py() for f in got[f"{s}_fids"]]
-
-                xa, ia, na, fa = side("a")
-                same = not got["b_rep"].is_valid
-                xb, ib, nb, fb = (xa, ia, na, fa) if same else side("b")
-                near = xa @ xb.T >= threshold
-                if same:
-                    near &= np.tri(len(xa), k=-1, dtype=bool).T
-                i, j = np.nonzero(near)
-                if not len(i):
-                    continue
-                rows_i, rows_j = np.unique(i), np.unique(j)
-                seen = earlier([fa[x] for x in rows_i], [fb[x] for x in rows_j], fid)
-                new = ~seen[np.searchsorted(rows_i, i), np.searchsorted(rows_j, j)]
-                i, j = i[new], j[new]
-                ids = ia if same else np.concatenate([ia, ib])
-                jj = j if same else j + len(ia)
-                degree = np.zeros(len(ids), np.int64)
-                np.add.at(degree, i, nb[j])
-                np.add.at(degree, jj, na[i])
-                order = np.argsort(ids)
-                rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids))
-                root = local_forest(len(ids), rank[i], rank[jj])
-                has = np.flatnonzero(degree)
-                node.append(ids[has])
-                peer.append(ids[order[root[rank[has]]]])
-                links.append(degree[has])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (node, peer, links)], names=["id", "other", "links"])
+                rows, first = _Rows(got, "", kind), got["first"].as_py()
+                row = np.repeat(np.arange(len(rows.ids)), np.diff(rows.ends))
+                flat = rows.flat[rows.ends[0] : rows.ends[-1]]
+                here = flat // words == first
+                row, fid = row[here], flat[here]
+                order = np.lexsort((row, fid))
+                row, fid = row[order], fid[order]
+                cuts = np.flatnonzero(np.diff(fid)) + 1
+                for at, f in zip(np.split(row, cuts), fid[np.concatenate([[0], cuts])].tolist()):
+                    if len(at) > 1:
+                        links.compare(rows, at, rows, at, f)
+            yield links.batch()
 
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = COSINE) -> DataFrame:
+def _verify_tiles(threshold: float, kind: type):
+    """Arrow function: tiles of one filter, alone or in pairs."""
+
+    def run(batches):
+        for batch in batches:
+            links = _Links(threshold)
+            for k in range(batch.num_rows):
+                got = {c: batch.column(c)[k] for c in batch.schema.names}
+                a = _Rows(got, "a_", kind)
+                at = np.arange(len(a.ids))
+                if got["b_rep"].is_valid:
+                    b = _Rows(got, "b_", kind)
+                    links.compare(a, at, b, np.arange(len(b.ids)), got["fid"].as_py())
+                else:
+                    links.compare(a, at, a, at, got["fid"].as_py())
+            yield links.batch()
+
+    return run
+
+
+_ITEMS = ["rep", "n_rows", "fids", "vec"]
+_LINKS = "id long, other long, links long"
+
+
+def _tile_links(rows: DataFrame, verify) -> DataFrame:
+    """Links within the filters of rows (label, dim, fid and _ITEMS), by tiles of a filter and all pairs of its tiles."""
+    bucket = ["label", "dim", "fid"]
+    sizes = materialize(rows.groupBy(*bucket).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1"), "buckets")
+    placed = join_groups(rows, sizes, bucket, "bucket_rows", "rep")
+    placed = placed.withColumn("tile", tile_no("bucket_rows", "rep", TILE_ROWS)).withColumn("tiles", F.ceil(F.col("bucket_rows") / TILE_ROWS).cast("int"))
+    tiles = materialize(pack(placed, [*bucket, "tiles", "tile"], _ITEMS), "tiles")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in _ITEMS]
+    none = [F.lit(None).cast(dict(tiles.dtypes)[c]).alias(f"b_{c}") for c in _ITEMS]
+    own = tiles.where(F.size("rep") > 1).select("dim", "fid", *side("a"), *none)
+    many = tiles.where("tiles > 1")
+    ahead = F.explode(F.expr("filter(sequence(0, tiles - 1), t -> t > tile)")).alias("tile")
+    pairs = many.select(*bucket, ahead, *side("a")).join(many.select(*bucket, "tile", *side("b")).hint("merge"), [*bucket, "tile"])
+    return own.unionByName(pairs.select(*own.columns)).mapInArrow(verify, _LINKS)
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = COSINE, words: int | None = None) -> DataFrame:
     """(id, n_links, component_id) for every row: vectors of one label link at a cosine of threshold or more.
 
-    Equal vectors of a label are one class; classes meet in the spherical-cap filters that both exceed, each
-    pair is verified by its cosine in double precision and counted in the first filter that both share. The
-    number of filters follows the largest label, so that a filter's rows stay about BUCKET for vectors of
-    spread directions; fuller filters are compared tile by tile, whole. Candidates come from random filters,
-    as many a vector as keep the misses at the threshold to MISSED for the words and length at hand.
-    Vectors that are null, empty, zero or hold null or non-finite components, and rows of null label, link
+    Equal vectors of a label (by 128 bits of hash) are one class; classes meet in the spherical-cap filters that
+    both exceed, each pair is verified by its cosine in double precision and counted in the first filter that
+    both share. A class is sent once for each first word of its filters, and the filters of that word are
+    compared together; a group of more than GROUP_ROWS is cut into its filters and these into tiles, which are
+    compared whole. The number of words follows the largest label (or is given), and with it the filters a
+    vector takes, so that misses at the threshold stay at MISSED whatever the size.
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows of null label or id, link
     with nothing (n_links 0, own component); so do vectors of different lengths. Repeated rows link as equal
     vectors. An empty table gives an empty one; extra columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    sound = F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0)
+    single = dict(vectors.dtypes)[vec_col] == "array<float>"
+    kind, cast = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(cast).alias("raw"))
+    finite = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    sound = F.col("label").isNotNull() & F.col("raw").isNotNull() & finite & F.exists("raw", lambda x: x != 0)
     good = F.coalesce(sound, F.lit(False)) & F.col("id").isNotNull()
-    classes = rows.where(good).groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n_rows"))
-    classes = materialize(classes, "vectors")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    words = 16
-    while words < 4096 and words * words * BUCKET < largest * FILTERS:
-        words *= 2
-    filtered = classes.select("label", "rep", "n_rows", "vec").repartition("rep").mapInArrow(_decode(words, threshold), f"label {dict(rows.dtypes)['label']}, rep long, n_rows long, dim int, fid long, fids array<long>, vec binary")
-    filtered = materialize(filtered, "filtered")
-    bucket = ["label", "dim", "fid"]
-    sizes = filtered.groupBy(*bucket).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
-    placed = filtered.join(sizes, bucket).withColumn("tile", tile_no("bucket_rows", "rep", TILE_ROWS)).withColumn("tiles", F.ceil(F.col("bucket_rows") / TILE_ROWS).cast("int"))
-    items = ["rep", "n_rows", "fids", "vec"]
-    tiles = materialize(pack(placed, [*bucket, "tiles", "tile"], items), "tiles")
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in items]
-    none = [F.lit(None).cast(dict(tiles.dtypes)[c]).alias(f"b_{c}") for c in items]
-    own = tiles.where(F.size("rep") > 1).select("dim", "fid", *side("a"), *none)
-    many = tiles.where("tiles > 1")
-    pairs = many.select(*bucket, F.explode(F.expr("filter(sequence(0, tiles - 1), t -> t > tile)")).alias("tile"), *side("a")).join(many.select(*bucket, "tile", *side("b")), [*bucket, "tile"])
-    links = materialize(own.unionByName(pairs.select(*own.columns)).mapInArrow(_verify(threshold), "id long, other long, links long"), "links")
+    # Adding zero makes one of the two zeros; the hashes stand for the vector.
+    zero = F.lit(0.0).cast("float" if single else "double")
+    keyed = rows.where(good).select("id", "label", F.transform("raw", lambda x: x + zero).alias("vec"))
+    keyed = keyed.select("id", "label", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"), "vec")
+    key = ["label", "h1", "h2"]
+    if words is None:
+        words = words_for(keyed.groupBy("label").agg(F.approx_count_distinct("h1").alias("n")).agg(F.max("n")).first()[0] or 0)
+    classes = keyed.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n_rows"), F.first("vec").alias("vec"))
+    # Filters a vector by its length, for the commonest lengths; a task finds out the others by itself.
+    dims = [r[0] for r in keyed.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count")).limit(16).collect()]
+    decode = _decode(words, threshold, {dim: least_filters(dim, words, threshold) for dim in dims}, kind)
+    decoded = classes.select(*_CLASS, "vec").mapInArrow(decode, f"label {dict(rows.dtypes)['label']}, h1 long, h2 long, rep long, n_rows long, dim int, fids array<int>, vec binary")
+    decoded = materialize(decoded, "filters")
+    group = ["label", "dim", "first"]
+    firsts = F.explode(F.array_distinct(F.transform("fids", lambda f: F.floor(f / words).cast("int"))))
+    sizes = decoded.select("label", "dim", firsts.alias("first")).groupBy(*group).agg(F.count("*").alias("group_rows"))
+    hot = materialize(sizes.where(F.col("group_rows") > GROUP_ROWS).select(*group, F.lit(True).alias("hot")), "hot-groups")
+    spread = decoded.select("label", "dim", firsts.alias("first"), *_ITEMS)
+    if hot.isEmpty():
+        cold, links = spread, None
+    else:
+        tagged = spread.join(hot, group, "left")
+        cold = tagged.where("hot is null")
+        fid = F.explode(F.filter("fids", lambda f: F.floor(f / words) == F.col("first")))
+        links = _tile_links(tagged.where("hot").select("label", "dim", fid.alias("fid"), *_ITEMS), _verify_tiles(threshold, kind))
+    found = pack(cold, group, _ITEMS).where(F.size("rep") > 1).mapInArrow(_verify_groups(words, threshold, kind), _LINKS)
+    links = materialize(found if links is None else found.unionByName(links), "links")
     counts = links.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     roots = connected_components(links.select(F.col("id").alias("src"), F.col("other").alias("dst"))).select(F.col("node").alias("rep"), "component")
-    known = classes.join(counts, "rep", "left").join(roots, "rep", "left").select(
-        "label", "vec", "n_rows", (F.coalesce("links", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    known = decoded.select(*_CLASS).join(counts, "rep", "left").join(roots, "rep", "left").select(
+        *key, "n_rows", (F.coalesce("links", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    linked = join_groups(rows.where(good), materialize(known, "classes"), ["label", "vec"], "n_rows", "id").select("id", "n_links", "component_id")
+    linked = join_groups(keyed.drop("vec"), materialize(known, "classes"), key, "n_rows", "id").select("id", "n_links", "component_id")
     alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
 
