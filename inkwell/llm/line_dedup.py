@@ -23,15 +23,21 @@ def _line(line):
     return F.trim(line, F.lit(_TRIMMED))
 
 
+def _row(text):
+    return F.xxhash64(text)
+
+
 def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int = MIN_SITES, long_sites: int | None = None) -> DataFrame:
-    """(h1, h2, need, site, id, pos): the non-blank lines of every text by a 128-bit hash; a null site is one of its own.
+    """(h1, h2, need, site, id, row, pos): the non-blank lines of every text by a 128-bit hash; a null site is one of its own.
 
     need is the number of sites that makes a line boilerplate: long_sites, if given, from LONG_WORDS words on.
+    row is the hash of the whole text, which tells apart the rows that share an id or have none.
     """
     need = F.lit(min_sites) if long_sites is None else F.when(F.size(F.split("line", r"\s+")) >= LONG_WORDS, long_sites).otherwise(min_sites)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), _row(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    base = text.select("id", "site", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     base = base.withColumn("line", _line(F.col("line"))).where("line <> ''")
-    return base.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), need.alias("need"), "site", "id", "pos")
+    return base.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), need.alias("need"), "site", "id", "row", "pos")
 
 
 def boilerplate(lines: DataFrame) -> DataFrame:
@@ -48,7 +54,7 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     judged = sketched.select("h1", "h2", "need", "first_id", "n_rows", F.hll_sketch_estimate("sites").alias("estimate")).where(F.col("estimate") >= need - band)
     judged = materialize(judged, "line-sites")
     near = judged.where(F.col("estimate") <= need + band)
-    counted = join_groups(lines.drop("need"), near, ["h1", "h2"], "n_rows", "id", "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    counted = join_groups(lines.drop("need"), near, ["h1", "h2"], "n_rows", "row", "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     sure = judged.where(F.col("estimate") > need + band).select("h1", "h2", "first_id", "n_rows")
     return sure.unionByName(near.join(counted, ["h1", "h2"]).where(F.col("exact") >= need).select("h1", "h2", "first_id", "n_rows"))
 
@@ -58,18 +64,20 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Lines are split at \\n and compared without blanks, tabs and carriage returns at their ends; blank lines
     always stay. A line on min_sites or more distinct sites (long_sites, if given, for one of LONG_WORDS words) is removed everywhere but in the document with
-    the smallest id that has it, so no content leaves the corpus. Null texts stay null with 0 lines; rows of
-    null id count for their site and are left as they are; repeated rows are treated alike. Columns of docs
-    other than the three named are passed through; those of the added names are replaced.
+    the smallest id that has it, so no content leaves the corpus. What is cut is told by a row's id and the
+    hash of its own text, so rows of other texts that share the id lose nothing by it. Null texts stay null
+    with 0 lines; rows of null id count for their site and are left as they are; repeated rows are treated
+    alike; a line that stands twice in the document that keeps it stays twice. An empty table gives an empty
+    one. Columns of docs other than the three named are passed through; those of the added names are replaced.
     """
     lines = site_lines(docs, id_col, text_col, site_col, min_sites, long_sites)
     found = materialize(boilerplate(lines), "boilerplate")
     lines = lines.drop("need")
-    hits = join_groups(lines, found, ["h1", "h2"], "n_rows", "id").where(F.col("id") != F.col("first_id"))
-    cut = materialize(hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("_ink_cut")), "cut-lines")
-    cut = cut.withColumnRenamed("id", "_ink_id")
+    hits = join_groups(lines, found, ["h1", "h2"], "n_rows", "row").where(F.col("id") != F.col("first_id"))
+    cut = materialize(hits.groupBy(F.col("id").alias("_ink_id"), F.col("row").alias("_ink_row")).agg(F.array_sort(F.collect_set("pos")).alias("_ink_cut")), "cut-lines")
     # The texts are shuffled at every size alike: what is cut has rows in proportion to the documents.
-    joined = docs.join(cut.hint("merge"), F.col(id_col) == F.col("_ink_id"), "left").withColumn("_ink_lines", F.split(text_col, "\n"))
+    own = (F.col(id_col) == F.col("_ink_id")) & (_row(F.col(text_col)) == F.col("_ink_row"))
+    joined = docs.join(cut.hint("merge"), own, "left").withColumn("_ink_lines", F.split(text_col, "\n"))
     # The lines between each two removed ones, in order; both arrays are columns so that they are made once a row.
     joined = joined.withColumn("_ink_bounds", F.concat(F.array(F.lit(-1)), F.col("_ink_cut"), F.array(F.size("_ink_lines"))))
     at = F.col("_ink_bounds")
@@ -77,7 +85,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.when(F.col("_ink_cut").isNull(), F.col(text_col)).otherwise(F.array_join(between, "\n"))
     return joined.withColumns(
         {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_ink_lines")).cast("long"), "n_removed": F.coalesce(F.size("_ink_cut"), F.lit(0)).cast("long"), text_col: text}
-    ).drop("_ink_id", "_ink_cut", "_ink_lines", "_ink_bounds")
+    ).drop("_ink_id", "_ink_row", "_ink_cut", "_ink_lines", "_ink_bounds")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
