@@ -63,15 +63,19 @@ def _key(hashes: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n, fp) of every row: the sum of its set's hashes and their number tell equal sets; fp is its wide print."""
+    """(id, row, key, n, fp) of every row: the sum of its set's hashes and their number tell equal sets; fp is its wide print.
+
+    row is the hash of the text, which tells apart the rows that share an id or have none.
+    """
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary())], names=["id", "key", "n", "fp"])
+            sets = [shingle_set(t.as_py() or b"") for t in batch.column(2)]
+            made = [pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "row", "key", "n", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "id long, key long, n long, fp binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "id long, row long, key long, n long, fp binary")
 
 
 def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -202,12 +206,13 @@ def similar_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for every row of docs: the smallest id reachable over links of Jaccard SIMILARITY or more.
+    """(id, row, component_id) for every row of docs: the smallest id reachable over links of Jaccard SIMILARITY or more.
 
     Texts of equal shingle sets are one class; so are those that are null or hold no word. Prints find the
     candidates, whose components are then compared set by set, so every link is exact and only a pair whose
     prints are farther apart than RADIUS can be missed. A row without id gets the component of its set (null
-    where no row of it has an id). Repeated rows are rows of their own; an empty table gives an empty one.
+    where no row of it has an id). Rows that share an id are judged by their own text, whose hash is `row`.
+    Repeated rows are rows of their own; an empty table gives an empty one; extra columns are not read.
     """
     rows = materialize(prints(docs, id_col, text_col), "prints")
     nodes = materialize(rows.groupBy("key", "n").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.count("*").alias("n_rows")), "nodes")
@@ -215,4 +220,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = materialize(nodes.select("rep", "key", "n").join(bucket, "rep"), "members")
     roots = connected_components(similar_edges(docs, members, id_col, text_col, SIMILARITY)).select(F.col("node").alias("rep"), "component")
     classes = nodes.join(roots, "rep", "left").select("key", "n", "n_rows", F.coalesce("component", "rep").alias("component_id"))
-    return join_groups(rows, materialize(classes, "classes"), ["key", "n"], "n_rows", "id").select("id", "component_id")
+    return join_groups(rows, materialize(classes, "classes"), ["key", "n"], "n_rows", "row").select("id", "row", "component_id")
