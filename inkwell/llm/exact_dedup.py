@@ -2,91 +2,75 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.ascii import ascii_lower
 from inkwell.operators.skew import join_groups
 from inkwell.storage import materialize
 
-PREFIX_BYTES = 256
-#: Bits of the map of surviving groups, its whole size whatever the input; a shared bit costs a read, no error.
-MAP_BITS = 1 << 22
-_PAGE = 32768
-
+#: Characters of the beginning that the second step hashes.
+PREFIX = 256
 
-def _normalized(text) -> bytes:
-    """The UTF-8 text with A-Z lower-cased; null counts as empty."""
-    return (text.as_py() or b"").lower()
 
+def _prefix(text: Column) -> Column:
+    return F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX)))
 
-def _slot(length: int, prefix: int) -> int:
-    return (prefix ^ (length * 0x9E3779B97F4A7C15)) % MAP_BITS
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256))
 
-def _prefixes(batches):
-    import xxhash
 
-    for batch in batches:
-        n = batch.num_rows
-        sizes, heads, slots = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.int64)
-        for k, text in enumerate(batch.column(1)):
-            raw = text.as_py() or b""
-            sizes[k], heads[k] = len(raw), xxhash.xxh64_intdigest(raw[:PREFIX_BYTES].lower())
-            slots[k] = _slot(len(raw), int(heads[k]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(heads.view(np.int64)), pa.array(slots)], names=["id", "length", "prefix", "slot"])
+def refined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seen, groups) of rows (id, t, and what else they carry).
 
-
-def _survivors(keys: DataFrame) -> bytes:
-    """A bit map of the slots whose (length, prefix) groups have more than one row."""
-    lengths = keys.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
-    groups = keys.groupBy("length", "prefix").agg(F.count("*").alias("n"), F.first("slot").alias("slot")).where("n > 1")
-    slots = groups.join(lengths, "length", "left_semi").select("slot").distinct()
-    pages = slots.groupBy(F.floor(F.col("slot") / _PAGE).alias("page")).agg(F.bitmap_construct_agg((F.col("slot") % _PAGE)).alias("bits")).collect()
-    bits = bytearray(MAP_BITS // 8)
-    for page in pages:  # MAP_BITS / _PAGE of them at most
-        at = page["page"] * _PAGE // 8
-        bits[at : at + _PAGE // 8] = page["bits"]
-    return bytes(bits)
+    The first step counts lengths in bytes, which case does not change; the second hashes the beginnings of the
+    rows whose length stands more than once, and of no others. seen has every row's columns but the text, its
+    length and its prefix, null where the length is its alone. groups has (length, prefix, n_rows) where more
+    than one row is left.
+    """
+    sized = rows.withColumn("length", F.octet_length("t").cast("long"))
+    lengths = materialize(sized.groupBy("length").agg(F.count("*").alias("n_rows")).where("n_rows > 1"), "lengths")
+    others = [c for c in rows.columns if c != "t"]
+    heads = sized.select(*others, "length", F.substring("t", 1, PREFIX).alias("head"))
+    marked = join_groups(heads, lengths, ["length"], "n_rows", "id", "left")
+    seen = materialize(marked.select(*others, "length", F.when(F.col("n_rows").isNotNull(), _prefix(F.col("head"))).alias("prefix")), "prefixes")
+    groups = seen.where("prefix is not null").groupBy("length", "prefix").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    return seen, materialize(groups, "open-groups")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """(id, keep_id, group_size, kept, digest) for every row of docs.
 
     Texts are equal when identical after lower-casing A-Z; null counts as the empty text. Of equal texts the
-    row with the largest id stays. The first pass keeps lengths and hashes of the first 256 bytes; only groups
-    that both leave with more than one row have their whole content hashed (SHA-256) in the second pass. With
-    digest_all the digest is given for other rows too, else it is null there. A row without id is kept only if
-    no equal row has an id. Repeated rows count each and share kept; an empty table gives an empty one; extra
-    columns are not read.
+    row with the largest id stays. Lengths are counted first; only rows whose length repeats have the hash of
+    their first 256 characters taken, and only those that share both with another row have their whole content
+    hashed (SHA-256) and compared. With digest_all the digest is given for other rows too, which then all are
+    hashed; else it is null there. A row without id is kept only if no equal row has an id. Repeated rows count
+    each and share kept; very long texts are hashed whole; an empty table gives an empty one; extra columns
+    are not read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    keys = materialize(rows.mapInArrow(_prefixes, "id long, length long, prefix long, slot long"), "prefixes")
-    shared = spark.sparkContext.broadcast(_survivors(keys))
-
-    def digests(batches):
-        import xxhash
-
-        bits = shared.value
-        for batch in batches:
-            out, open_ = [], []
-            for text in batch.column(1):
-                raw = text.as_py() or b""
-                slot = _slot(len(raw), xxhash.xxh64_intdigest(raw[:PREFIX_BYTES].lower()))
-                again = bool(bits[slot >> 3] >> (slot & 7) & 1)
-                open_.append(again)
-                out.append(hashlib.sha256(_normalized(text)).digest() if again or digest_all else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(open_)], names=["id", "digest", "open"])
-
-    found = materialize(rows.mapInArrow(digests, "id long, digest binary, open boolean"), "digests")
-    groups = found.where("open").groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n_rows")).where("n_rows > 1")
-    joined = join_groups(found, materialize(groups, "copies"), ["digest"], "n_rows", "id", "left")
-    keep = F.when(F.col("n_rows").isNull(), F.col("id")).otherwise(F.col("last"))
-    return joined.select("id", keep.alias("keep_id"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "digest")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
+    key = ["length", "prefix"]
+    if digest_all:
+        seen, groups = refined(rows.withColumn("digest", _digest(F.col("t"))))
+    else:
+        seen, groups = refined(rows)
+        seen = seen.withColumn("digest", F.lit(None).cast("binary"))
+    several = seen.where("prefix is not null")
+    alone = seen.where("prefix is null").unionByName(join_groups(several, groups, key, "n_rows", "id", "left_anti"))
+    if digest_all:
+        open_ = join_groups(several, groups, key, "n_rows", "id", "left_semi").select("id", "digest")
+    else:
+        texts = rows.select("id", F.octet_length("t").cast("long").alias("length"), _prefix(F.col("t")).alias("prefix"), "t")
+        open_ = join_groups(texts, groups, key, "n_rows", "id", "left_semi").select("id", _digest(F.col("t")).alias("digest"))
+    open_ = materialize(open_, "digests")
+    copies = open_.groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n_rows"))
+    joined = join_groups(open_, materialize(copies, "copies"), ["digest"], "n_rows", "id")
+    found = joined.select("id", F.col("last").alias("keep_id"), F.col("n_rows").alias("group_size"), F.col("last").eqNullSafe(F.col("id")).alias("kept"), "digest")
+    single = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    return found.unionByName(single)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
