@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs: shorter ones would only be dropped
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
-#: What the network judges: every run of these characters that is long enough and holds a digit.
+#: What the network judges: every run of these characters that is long enough and holds a digit, and shorter or
+#: digitless ones that a credential's name stands before.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+NAMED = re.compile(r"""(?:key|auth|bearer|credentials?|pwd|pass|passphrase|pin|signature|cookie|session)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.ASCII | re.IGNORECASE)
+_NAMES = ("key", "auth", "bearer", "credential", "pwd", "pass", "pin", "signature", "cookie", "session")
+LEAST_RUN = 16
 _DIGIT = re.compile("[0-9]")
-#: Characters before the candidate, of it (its first), and after it.
-BEFORE, WITHIN, AFTER = 20, 44, 8
+#: Characters of a window before what it judges, of that, and after it; a longer candidate is judged by windows
+#: over its whole length that begin STRIDE apart, and is as likely a secret as the likeliest of them.
+BEFORE, WITHIN, AFTER, STRIDE = 20, 44, 8, 22
 WIDTH, FILTERS, EMBEDDING, HIDDEN = 5, 24, 10, 16
 #: Labelled findings made for training and for calibration, and the recall that the threshold must keep there.
 TRAIN_ROWS, CALIBRATION_ROWS, RECALL, SEED = 4000, 2000, 0.97, 9
@@ -41,8 +46,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
+def candidates(text: str, spans: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """(start, end) of what the network is to judge: the parts of runs that no base span overlaps, in order.
+
+    Parts count if they are long enough and hold a digit; a run after a credential's name counts whole, if no
+    base span overlaps it, from 8 characters on and with or without digits.
+    """
+    runs, out, at = [m.span() for m in CANDIDATE.finditer(text)], [], 0
+    for a, b in runs:
+        while at < len(spans) and spans[at][2] <= a and (at + 1 == len(spans) or spans[at + 1][0] <= a):
+            at += 1
+        k, lo = at, a
+        while k < len(spans) and spans[k][0] < b:
+            out.append((lo, min(spans[k][0], b)))
+            lo = max(lo, spans[k][2])
+            k += 1
+        out.append((lo, b))
+    found = {(a, b) for a, b in out if b - a >= LEAST_RUN and _DIGIT.search(text, a, b)}
+    low = text.lower()
+    if any(name in low for name in _NAMES):
+        named = [m.span(1) for m in NAMED.finditer(text)]
+        found |= set(_free(named, spans))
+    return sorted(found)
+
+
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """The windows of a candidate, which cover it whole."""
+    if b - a <= WITHIN:
+        return [(a, b)]
+    return [(lo, lo + WITHIN) for lo in (*range(a, b - WITHIN, STRIDE), b - WITHIN)]
 
 
 def _codes() -> np.ndarray:
@@ -62,7 +94,7 @@ CLASSES = 73
 
 
 def encode_windows(found: list[tuple[str, int, int]]) -> np.ndarray:
-    """A row of character classes for each (text, start, end): context, then the candidate, then context, padded."""
+    """A row of character classes for each (text, start, end): context, then a window's characters, then context, padded."""
     out = np.zeros((len(found), _SPAN), np.uint8)
     for row, (text, a, b) in zip(out, found):
         for at, piece, right in ((0, text[max(0, a - BEFORE) : a], True), (BEFORE, text[a : min(b, a + WITHIN)], False), (BEFORE + WITHIN, text[b : b + AFTER], False)):
@@ -158,8 +190,10 @@ def findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]
     """n labelled findings made from a seed, half of them secrets: (text, start, end) and 1 for a secret.
 
     Secrets are random strings as keys, tokens, digests and encoded bytes have them, with and without a name
-    before them; others are what else has digits and length: paths, addresses, versions, dates, numbered
-    names, runs of one character and counters.
+    before them, some late in a run that begins with a path or a name, and some short ones after a name. Others
+    are what else has digits and length: paths, addresses, versions, dates, numbered names, runs of one
+    character and counters, and plain words after a name. Of what is longer than a window, a window is the
+    finding: one that holds the secret, or any of the others.
     """
     rng = np.random.default_rng(seed)
     pick = lambda chars, lo, hi: "".join(rng.choice(list(chars), rng.integers(lo, hi + 1)))
@@ -183,10 +217,19 @@ def findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]
     for label in y:
         value = str((secrets if label else others)[rng.integers(len(secrets) if label else len(others))]())
         prose = " ".join(word() for _ in range(rng.integers(0, 5)))
-        named = rng.random() < (0.5 if label else 0.08)
+        short = rng.random() < 0.12
+        if short:  # after a name only
+            value = pick(low + up + digit, 9, 15) if label else str(rng.choice([word(2, 4), word(1, 2).capitalize() + word(1, 2), word(2, 3) + "-" + word(1, 2), word(2, 3) + "_" + word(1, 2), pick(digit, 1, 2) + word(2, 3)])).ljust(8, "e")
+        named = short or rng.random() < (0.5 if label else 0.08)
         lead = f"{rng.choice(names if named else plain)}{rng.choice([': ', '=', ' = ', ' ', '="'] if named or rng.random() < 0.3 else [' '])}"
-        text = prose + rng.choice([" ", "\n", ""]) + (lead if rng.random() < 0.7 else " ")
-        out.append((text + value + rng.choice(["", '"', ".", "\n", ", "]) + " " + word(), len(text), len(text) + len(value)))
+        text = prose + rng.choice([" ", "\n", ""]) + (lead if short or rng.random() < 0.7 else " ")
+        late = "" if short or rng.random() >= 0.2 else rng.choice(["/", "_", "=", "."]).join(word() for _ in range(rng.integers(2, 8))) + rng.choice(["/", "=", "."])
+        a, b = len(text), len(text) + len(late) + len(value)
+        if b - a > WITHIN:  # one window of it: for a secret one that holds most of it
+            first = a + len(late) - WITHIN // 2 if label else a
+            a = int(rng.integers(max(a, first), max(a, first, min(b - WITHIN, a + len(late) + 4)) + 1))
+            b = min(b, a + WITHIN)
+        out.append((text + late + value + rng.choice(["", '"', ".", "\n", ", "]) + " " + word(), a, b))
     return out, y
 
 
@@ -211,29 +254,29 @@ class Detector:
         return cls(network, float((below + chance[(y == 1) & (chance > below)].min()) / 2))
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """All spans (start, kind number, end) of each text: the base's, and candidates that the network takes for secrets and no base span overlaps."""
+        """All spans (start, kind number, end) of each text: the base's, and candidates that the network takes for secrets, whole."""
         out = [base_spans(t) for t in texts]
-        wanted = []
-        for k, t in enumerate(texts):
-            wanted += _free(candidates(t), out[k], k)
-        for lo in range(0, len(wanted), _BATCH):
-            some = wanted[lo : lo + _BATCH]
-            chance = self.network.chance(encode_windows([(texts[k], a, b) for k, a, b in some]))
-            for (k, a, b), c in zip(some, chance):
-                if c >= self.threshold:
-                    out[k].append((a, 3, b))
-        return [sorted(x) for x in out]
-
-
-def _free(found: list[tuple[int, int]], spans: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int]]:
-    """The candidates that no span overlaps; both in order of their starts, so one sweep tells."""
+        wanted = [(k, a, b) for k, t in enumerate(texts) for a, b in candidates(t, out[k])]
+        views = ((i, *w) for i, (_, a, b) in enumerate(wanted) for w in windows(a, b))
+        taken: set[int] = set()
+        while some := list(islice(views, _BATCH)):
+            chance = self.network.chance(encode_windows([(texts[wanted[i][0]], a, b) for i, a, b in some]))
+            taken.update(i for (i, _, _), c in zip(some, chance) if c >= self.threshold)
+        for i in taken:
+            k, a, b = wanted[i]
+            out[k].append((a, 3, b))
+        return [sorted(set(x)) for x in out]
+
+
+def _free(found: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Those that no span overlaps; both in order of their starts, so one sweep tells."""
     out, at, end = [], 0, -1
     for a, b in found:
         while at < len(spans) and spans[at][0] < b:
             end = max(end, spans[at][2])
             at += 1
         if end <= a:
-            out.append((k, a, b))
+            out.append((a, b))
     return out
 
 
@@ -244,8 +287,10 @@ def _joined(spans) -> str:
 def scan(docs: DataFrame, detector: Detector | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kinds, base, spans) of every row: base finds by kind, their spans, and all spans with those of the network.
 
-    Spans are kind:start:end in code points, by start and then kind, comma-joined. Whole texts are read; a null
-    text counts as empty and has empty spans. Rows stay as many as they are; extra columns are not read.
+    Spans are kind:start:end in code points, by start and then kind, comma-joined. Whole texts and whole
+    candidates are read, however long; a null text counts as empty and has empty spans. Rows stay as many as
+    they are, repeated ones and those of null id too; an empty table gives an empty one; extra columns are not
+    read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(detector or Detector.train())
 
