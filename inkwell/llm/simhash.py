@@ -88,8 +88,8 @@ def _near_forest(radius: int):
                 same = not b_fp[k].is_valid
                 fb, ib = (fa, ia) if same else (b_fp[k].values.to_numpy(zero_copy_only=False).view(np.uint64), b_id[k].values.to_numpy(zero_copy_only=False))
                 far, near = [], []
-                for at in range(0, len(fa), 256):  # the matrix of a step stays within a few MB
-                    i, j = np.nonzero(np.bitwise_count(fa[at : at + 256, None] ^ fb[None, :]) <= radius)
+                for at in range(0, len(fa), 64):  # the matrix of a step stays within a few MB
+                    i, j = np.nonzero(np.bitwise_count(fa[at : at + 64, None] ^ fb[None, :]) <= radius)
                     far.append(i + at)
                     near.append(j)
                 i, j = np.concatenate(far), np.concatenate(near)

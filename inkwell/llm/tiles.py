@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most rows of a tile on average; what one task holds of a bucket is bounded by two tiles.
-TILE = 2048
+TILE = 8192
 
 
 def tile_no(size: str, spread: str, rows: int = TILE):
