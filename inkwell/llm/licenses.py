@@ -120,16 +120,16 @@ BODIES: tuple[tuple[str, str, str], ...] = (
     ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
     ("gpl", "verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document"),
     ("gpl", "free software you can", "this (?:program|software|library|file|package) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("gpl-2", "free software you can", "is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 2"),
-    ("gpl-2", "free software you can", "is free software you can redistribute it and or modify it under the terms of (?:version 2 of the gnu general public licen[cs]e|the gnu general public licen[cs]e version 2)"),
-    ("gpl-3", "free software you can", "is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3"),
+    ("gpl-2", "free software you can", "(?:this (?:program|software|library|file|package) )?is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 2"),
+    ("gpl-2", "free software you can", "(?:this (?:program|software|library|file|package) )?is free software you can redistribute it and or modify it under the terms of (?:version 2 of the gnu general public licen[cs]e|the gnu general public licen[cs]e version 2)"),
+    ("gpl-3", "free software you can", "(?:this (?:program|software|library|file|package) )?is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3"),
     ("gpl", "copy of the gnu", "you should have received a copy of the gnu general public licen[cs]e along with"),
     ("lgpl", "copy of the gnu", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with"),
     ("agpl-3", "copy of the gnu", "you should have received a copy of the gnu affero general public licen[cs]e along with"),
-    ("lgpl", "free software you can", "is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
-    ("lgpl-2.1", "free software you can", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1"),
-    ("lgpl-3", "free software you can", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 3"),
-    ("agpl-3", "free software you can", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("lgpl", "free software you can", "(?:this (?:program|software|library|file|package) )?is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl-2.1", "free software you can", "(?:this (?:program|software|library|file|package) )?is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1"),
+    ("lgpl-3", "free software you can", "(?:this (?:program|software|library|file|package) )?is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 3"),
+    ("agpl-3", "free software you can", "(?:this (?:program|software|library|file|package) )?is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e"),
     ("gpl-classpath", "special exception", "as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
     ("gfdl", "permission is granted to copy", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e"),
     ("gfdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
