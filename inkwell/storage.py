@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and all its tasks run in one machine, as in local tests.
 LOCAL_DEFAULT = "/tmp/checkpoints/inkwell"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the local default where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, the local default of a local master.
+
+    On a cluster a machine's own folder would hold a part of each table only, so the setting is required there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (folder or LOCAL_DEFAULT).rstrip("/")
 
 
