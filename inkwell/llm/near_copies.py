@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.components import connected_components, local_forest
+from inkwell.operators.components import connected_components
 from inkwell.operators.skew import join_groups
 from inkwell.storage import materialize
 
-from .tiles import pack, tile_no
+from .tiles import Forest, pack, tile_no
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -78,18 +78,10 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, row long, key long, n long, fp binary")
 
 
-def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Spanning forests, as edges (src, dst), of links (i, j) between places of ids."""
-    src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for ids, i, j in found:
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        root = local_forest(len(ids), rank[i], rank[j])
-        child = np.flatnonzero(root != np.arange(len(ids)))
-        src.append(ids[order[child]])
-        dst.append(ids[order[root[child]]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], names=["src", "dst"])
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The edges (src, dst) of spanning forests."""
+    none = np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in ([f[0] for f in found], [f[1] for f in found])], names=["src", "dst"])
 
 
 def _near(batches):
@@ -102,18 +94,15 @@ def _near(batches):
             fa, ia = read("a")
             same = not got["b_rep"].is_valid
             fb, ib = (fa, ia) if same else read("b")
-            far, near = [], []
+            ids, cut = (ia, 0) if same else (np.concatenate([ia, ib]), len(ia))
+            forest = Forest(len(ids))
             for at in range(0, len(ia), 64):  # the matrices of a step stay within a few MB
                 bits = np.zeros((len(ia[at : at + 64]), len(ib)), np.uint16)
                 for lane in range(LANES):
                     bits += np.bitwise_count(fa[lane, at : at + 64, None] ^ fb[lane][None])
                 i, j = np.nonzero(bits <= RADIUS)
-                i = i + at
-                far.append(i[i < j] if same else i)
-                near.append(j[i < j] if same else j)
-            i, j = np.concatenate(far), np.concatenate(near)
-            if len(i):
-                found.append((ia, i, j) if same else (np.concatenate([ia, ib]), i, j + len(ia)))
+                forest.add(i + at, j + cut)
+            found.append(forest.edges(ids))
         yield _edges(found)
 
 
@@ -132,20 +121,17 @@ def _similar(similarity: float):
                 if not same:
                     more, others = read("b")
                     sets, ids = sets + more, np.concatenate([ids, others])
-                sizes, label, i, j = np.array([len(s) for s in sets]), np.arange(len(sets)), [], []
+                sizes, forest = np.array([len(s) for s in sets]), Forest(len(sets))
                 for x in range(cut):
                     y = np.arange(x + 1, len(sets)) if same else np.arange(cut, len(sets))
                     least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
                     for z in y[least >= similarity * most - 1e-9].tolist():
-                        if label[x] == label[z]:  # linked already, if by others: no more to learn
+                        if forest.label[x] == forest.label[z]:  # linked already, if by others: no more to learn
                             continue
                         inter = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
                         if inter >= similarity * (sizes[x] + sizes[z] - inter) - 1e-9:
-                            label[label == label[z]] = label[x]
-                            i.append(x)
-                            j.append(z)
-                if i:
-                    found.append((ids, np.array(i), np.array(j)))
+                            forest.add(np.array([x]), np.array([z]))
+                found.append(forest.edges(ids))
             yield _edges(found)
 
     return run

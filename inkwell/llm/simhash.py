@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.components import connected_components, local_forest
+from inkwell.operators.components import connected_components
 from inkwell.operators.skew import join_groups
 from inkwell.storage import materialize
 
-from .tiles import pack, tile_no
+from .tiles import Forest, pack, tile_no
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -87,24 +87,14 @@ def _near_forest(radius: int):
                 fa, ia = a_fp[k].values.to_numpy(zero_copy_only=False).view(np.uint64), a_id[k].values.to_numpy(zero_copy_only=False)
                 same = not b_fp[k].is_valid
                 fb, ib = (fa, ia) if same else (b_fp[k].values.to_numpy(zero_copy_only=False).view(np.uint64), b_id[k].values.to_numpy(zero_copy_only=False))
-                far, near = [], []
+                ids, cut = (ia, 0) if same else (np.concatenate([ia, ib]), len(ia))
+                forest = Forest(len(ids))
                 for at in range(0, len(fa), 64):  # the matrix of a step stays within a few MB
                     i, j = np.nonzero(np.bitwise_count(fa[at : at + 64, None] ^ fb[None, :]) <= radius)
-                    far.append(i + at)
-                    near.append(j)
-                i, j = np.concatenate(far), np.concatenate(near)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                ids = ia if same else np.concatenate([ia, ib])
-                order = np.argsort(ids, kind="stable")
-                rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids))
-                root = local_forest(len(ids), rank[i], rank[j if same else j + len(ia)])
-                child = np.flatnonzero(root != np.arange(len(ids)))
-                src.append(ids[order[child]])
-                dst.append(ids[order[root[child]]])
+                    forest.add(i + at, j + cut)
+                child, root = forest.edges(ids)
+                src.append(child)
+                dst.append(root)
             edges = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges], names=["src", "dst"])
 
