@@ -27,7 +27,7 @@ BODY_END = r"\*{3}\s*END OF (?:THE|THIS) PROJECT GUTENBERG[^\n]*\*{3}"
 OLD_END = r"^\s*End of (?:the )?Project Gutenberg(?:'s)? Etext.*$"
 SMALL_PRINT = r"\*END\*THE SMALL PRINT.*?(?=\n\n)"
 
-CHAPTER_WORDS = "CHAPTER Chapter BOOK Book PART Part PROLOGUE Prologue EPILOGUE Epilogue VOLUME Volume".split()
+CHAPTER_HEADING = r"^\s*(CHAPTER|Chapter|BOOK|Book|PART|Part|PROLOGUE|Prologue|EPILOGUE|Epilogue|VOLUME|Volume)\b.{0,60}$"
 ROMAN_HEADING = r"^\s*[IVXLCDM]{1,8}\.?\s*$"
 BACK_MATTER = r"(?i)^\s*(APPENDIX|GLOSSARY|INDEX|FOOTNOTES?|NOTES?|BIBLIOGRAPHY|ACKNOWLEDGEMENTS?)\s*\.?\s*$"
 CONTENTS = r"(?i)^\s*(CONTENTS|TABLE OF CONTENTS)\s*\.?\s*$"
@@ -109,15 +109,8 @@ SCALE_BANDS = ((900, "large"), (600, "medium"), (250, "semi_small"), (60, "windo
 
 def chapter_heading() -> str:
     """A line that opens a chapter: one of the words, then at most 60 characters."""
-    return rf"^\s*({'|'.join(CHAPTER_WORDS)})\b.{{0,60}}$"
+    return CHAPTER_HEADING
 
 
 def boilerplate_line() -> str:
     return rf"(?i)^\s*(?:{'|'.join(BOILERPLATE_LINES)})$"
-
-
-def phrases(words, ends: bool = True) -> str:
-    """An alternation of literal phrases in the order given (so the first that fits wins)."""
-    import re
-
-    return "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-").replace("\\,", ",") for w in words)

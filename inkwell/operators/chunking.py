@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
@@ -92,11 +92,11 @@ def chunk_records(docs: DataFrame, size: Sizes = Sizes(), id_col: str = "doc_id"
 
     A giant is cut at sentences. The last chunk of a text joins the one before if it is short; of the joined
     chunk only text, words and closing flag follow. Chapter headings are dropped and counted. A text is cut by
-    itself, so no group of rows meets in a task.
+    itself, so no group of rows meets in a task. The id is of any type and is carried along.
     """
     heading, boundary = re.compile(lx.chapter_heading()), None
 
-    def records(doc_id, lines, sentences_of):
+    def records(row, lines, sentences_of):
         paras, chapter, seen, starts = [], 0, None, []
         for line in lines:
             if heading.search(line) and len(line.split()) <= 10:
@@ -123,20 +123,22 @@ def chunk_records(docs: DataFrame, size: Sizes = Sizes(), id_col: str = "doc_id"
             out[-1][2] += "\n\n" + last[2]
             out[-1][3] += last[3]
             out[-1][6] = last[6]
-        return [[doc_id, k, *row] for k, row in enumerate(out)]
+        return [[row, k, *record] for k, record in enumerate(out)]
 
     def run(batches):
         nonlocal boundary
         boundary = _python_boundary()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            for k, text in enumerate(batch.column(1)):
                 lines = [s for s in ((line or "").strip() for line in (text.as_py() or "").split("\n")) if s]
-                rows += records(doc_id.as_py(), lines, lambda t: [s.strip() for s in boundary.split(t) if s.strip()])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_CHUNK_NAMES)
+                rows += records(k, lines, lambda t: [s.strip() for s in boundary.split(t) if s.strip()])
+            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds, 1))], names=_CHUNK_NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_CHUNK_NAMES, ["long"] * 4 + ["string", "long", "long", "boolean", "boolean", "boolean", "long", "long"])))
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_CHUNK_NAMES, [kind] + ["long"] * 3 + ["string", "long", "long", "boolean", "boolean", "boolean", "long", "long"])))
 
 
 _CHUNK_NAMES = ["id", "chunk_id", "first_par", "last_par", "text", "word_count", "n_paragraphs", "starts_with_dialogue", "ends_with_dialogue", "starts_new_chapter", "first_chapter", "last_chapter"]
@@ -171,14 +173,20 @@ def spans(docs: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         for batch in batches:
-            ids, pos, words, texts = [], [], [], []
-            for k, doc_id in enumerate(batch.column(0)):
+            at, pos, words, texts = [], [], [], []
+            for k in range(batch.num_rows):
                 s = batch.column(1)[k].as_py()
                 for a, b, n in windows_of(np.array([len(x.split()) for x in s], dtype=np.int64), lo, hi):
-                    ids.append(doc_id.as_py())
+                    at.append(k)
                     pos.append(a)
                     words.append(n)
                     texts.append(" ".join(s[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], names=["id", "pos", "words", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], names=["id", "pos", "words", "text"])
 
-    return sents.select(F.col("id").cast("long").alias("id"), "s").mapInArrow(run, "id long, pos long, words long, text string")
+    return sents.select("id", "s").mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, pos long, words long, text string")
+
+
+def sampled(rows: DataFrame, most: int, seed: str) -> DataFrame:
+    """At most so many spans of a text (id, pos), those of the least hashes."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col("pos").cast("string")).cast("binary"))))
+    return rows.withColumn("_ink_rank", rank).where(F.col("_ink_rank") <= most).drop("_ink_rank")

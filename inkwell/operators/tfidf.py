@@ -29,18 +29,31 @@ def terms_of(docs: DataFrame, kind: str, id_col: str, text_col: str) -> DataFram
     return words.select("id", F.explode(grams).alias("term"), "n")
 
 
-def vectors(docs: DataFrame, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, weight): the unit vector of each text over the commonest terms; texts without any have no row.
-
-    The vocabulary is cut by counts before anything is joined to it, and has a bounded number of terms.
-    """
-    most, share = WORD if kind == "word" else CHAR
+def counts(docs: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf) of each text, written."""
     terms = terms_of(docs, kind, id_col, text_col)
-    tf = terms.groupBy("id", "term").agg((F.sum("n") if "n" in terms.columns else F.count("*")).alias("tf"))
-    tf = materialize(tf, "tf")
-    n_texts = docs.count()
+    return materialize(terms.groupBy("id", "term").agg((F.sum("n") if "n" in terms.columns else F.count("*")).alias("tf")), "tf")
+
+
+def vocabulary(tf: DataFrame, n_texts: int, kind: str, most: int | None = None) -> DataFrame:
+    """(term, idf): the commonest terms that stand in neither too few nor too many of the counted texts."""
+    limit, share = WORD if kind == "word" else CHAR
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= LEAST_TEXTS) & (F.col("df") <= share * n_texts))
-    vocabulary = stats.orderBy(F.desc("cf"), "term").limit(most).select("term", (F.log((1.0 + n_texts) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(F.broadcast(vocabulary), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    return stats.orderBy(F.desc("cf"), "term").limit(most or limit).select("term", (F.log((1.0 + n_texts) / (1.0 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighed(tf: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, term, weight, ...): the unit vector of each counted text over a vocabulary, whose other columns are carried.
+
+    The vocabulary has a bounded number of terms and is broadcast; texts without any of them have no row.
+    """
+    more = [c for c in known.columns if c not in ("term", "idf")]
+    weighted = tf.join(F.broadcast(known), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"), *more)
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return materialize(weighted.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight")), "vectors")
+    return materialize(weighted.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"), *more), "vectors")
+
+
+def vectors(docs: DataFrame, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, weight): the unit vector of each text over the commonest terms of all; texts without any have no row."""
+    tf = counts(docs, kind, id_col, text_col)
+    return weighed(tf, vocabulary(tf, docs.count(), kind))

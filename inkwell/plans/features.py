@@ -68,11 +68,16 @@ def punctuation_rates(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", *(tx.rounded(1000.0 * tx.occurrences(F.col("text"), p) / n).alias(f"p{k}") for k, p in enumerate(lx.PUNCTUATION)))
 
 
-_OCR = f"""t AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z'']+') AS tok FROM documents),
-c AS (SELECT doc_id, len(tok) AS n, len(list_filter(tok, lambda t: (length(t) >= 4 AND NOT regexp_matches(t, '[aeiouAEIOU]')) OR (regexp_matches(t, '[A-Z][a-z]*[A-Z]') AND length(t) > 3))) AS odd,
-  len(list_filter(tok, lambda t: lower(t) IN ({sq.quoted(lx.COMMON_WORDS)}))) AS known, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, length(text) AS chars FROM t),
+def ocr(rows: str) -> str:
+    """CTEs that end with o, the scan figures of rows (doc_id, text)."""
+    return f"""ot AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z'']+') AS tok FROM {rows}),
+oc AS (SELECT doc_id, len(tok) AS n, len(list_filter(tok, lambda t: (length(t) >= 4 AND NOT regexp_matches(t, '[aeiouAEIOU]')) OR (regexp_matches(t, '[A-Z][a-z]*[A-Z]') AND length(t) > 3))) AS odd,
+  len(list_filter(tok, lambda t: lower(t) IN ({sq.quoted(lx.COMMON_WORDS)}))) AS known, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, length(text) AS chars FROM ot),
 o AS (SELECT doc_id, n AS n_tokens, CASE WHEN n > 0 THEN odd / n ELSE 1.0 END AS suspicious, CASE WHEN n > 0 THEN known / n ELSE 0.0 END AS common, CASE WHEN n > 0 THEN 1 - letters / greatest(chars, 1) END AS non_letter,
-  CASE WHEN n > 0 THEN {sq.clip('1.0::DOUBLE - 3 * (odd / n) - greatest(0.0::DOUBLE, 0.25 - known / n) * 2')} ELSE 1.0 END AS ocr_score FROM c)"""
+  CASE WHEN n > 0 THEN {sq.clip('1.0::DOUBLE - 3 * (odd / n) - greatest(0.0::DOUBLE, 0.25 - known / n) * 2')} ELSE 1.0 END AS ocr_score FROM oc)"""
+
+
+_OCR = ocr("documents")
 
 
 @query("ocr_quality", f"WITH {_OCR} SELECT doc_id, n_tokens, {', '.join(f'{sq.rounded(c)} AS {c}' for c in ('suspicious', 'common', 'non_letter', 'ocr_score'))} FROM o")

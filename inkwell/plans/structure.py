@@ -45,13 +45,13 @@ def sentence_lengths(spark, sf_dir):
 
 @query(
     "script_detection",
-    f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Привет это текст ' || left(text, 60) ELSE text END AS t FROM documents),
+    f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('Привет это текст ', 1 + length(text) // 60) || text ELSE text END AS t FROM documents),
 n AS (SELECT doc_id, len(regexp_extract_all(t, '\\p{{L}}')) AS n, len(regexp_extract_all(t, '[Ѐ-ӿ]')) AS c, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM c)
 SELECT doc_id, coalesce({sq.rounded('c / nullif(n, 0)', 4)}, 0.0) AS cyrillic_ratio, coalesce({sq.rounded('l / nullif(n, 0)', 4)}, 0.0) AS latin_ratio, coalesce(c / nullif(n, 0) >= 0.15, false) AS likely_non_english FROM n""",
 )
 def script_detection(spark, sf_dir):
-    """Shares of letters by script; a third of the texts get a Cyrillic beginning."""
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Привет это текст "), F.substring("text", 1, 60))).otherwise(F.col("text"))
+    """Shares of letters by script; a third of the texts get a Cyrillic beginning in proportion to their length."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("Привет это текст "), (1 + F.floor(F.length("text") / 60)).cast("int")), F.col("text"))).otherwise(F.col("text"))
     rows = _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", *(F.regexp_count("t", F.lit(p)).alias(n) for n, p in (("n", r"\p{L}"), ("c", "[Ѐ-ӿ]"), ("l", "[A-Za-z]"))))
     share = lambda x: tx.ratio(F.col(x), F.col("n"))
     return rows.select("doc_id", tx.rounded(share("c"), 4).alias("cyrillic_ratio"), tx.rounded(share("l"), 4).alias("latin_ratio"), (share("c") >= lx.CYRILLIC_SHARE).alias("likely_non_english"))
@@ -72,20 +72,20 @@ def dialogue_flags(spark, sf_dir):
 
 
 def _headed(line, pos):
-    return F.when(pos % 4 == 0, F.concat(F.lit("Chapter "), F.substring(line, 1, 20))).otherwise(line)
+    return F.when(pos % 4 == 0, F.concat(F.lit("Chapter "), line)).otherwise(line)
 
 
 @query(
     "chapter_index",
     f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-p AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN 'Chapter ' || left(s, 20) ELSE s END AS s FROM l),
+p AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN 'Chapter ' || s ELSE s END AS s FROM l),
 h AS (SELECT *, regexp_matches(s, '{lx.chapter_heading()}') AND len({sq.tokens('s')}) <= 10 AS head FROM p),
 c AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS chapter FROM h),
 k AS (SELECT *, lag(chapter) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM chapter AS opens FROM c WHERE NOT head AND trim(s) <> '')
 SELECT doc_id, count(*) AS n_paragraphs, count(DISTINCT chapter) AS n_chapters, count(*) FILTER (opens) AS n_boundaries FROM k GROUP BY 1""",
 )
 def chapter_index(spark, sf_dir):
-    """Paragraphs (lines) by chapter: headings count up and are dropped; every fourth line is made one."""
+    """Paragraphs (lines) by chapter: headings count up and are dropped; every fourth line gets a heading's word, and is one if it is short."""
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "s")).withColumn("s", _headed(F.col("s"), F.col("pos")))
     w = Window.partitionBy("doc_id").orderBy("pos")
     head = F.col("s").rlike(lx.chapter_heading()) & (tx.word_count(F.col("s")) <= 10)
