@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,8 +122,19 @@ def stack(train: DataFrame, judged: DataFrame, features: list[str], label: str,
     return predictions(final, _said(_bases(train, features, label), judged, keep, classes), keep)
 
 
+def numbered(names: DataFrame, column: str, out: str) -> DataFrame:
+    """Distinct names with their places from 0 in order, counted in ranges, so no task or driver holds them all."""
+    ranged = materialize(names.select(column).where(F.col(column).isNotNull()).repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "names")
+    sums = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each range
+    ahead = sums.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(ahead), "_part").select(column, (F.col("_own") + F.col("n0")).alias(out))
+
+
 def index_labels(rows: DataFrame, column: str, out: str) -> DataFrame:
-    return StringIndexer(inputCol=column, outputCol=out, stringOrderType="alphabetAsc").fit(rows).transform(rows)
+    """rows with the place of their label among all in the order of names, as a double; rows without one go."""
+    places = numbered(rows.select(column).distinct(), column, out)
+    return rows.join(places, column).select(*rows.columns, F.col(out).cast("double").alias(out))
 
 
 def grow_trees(rows: DataFrame, features: list[str], trees: int = TREES, size: int = TREE_ROWS) -> list:
@@ -132,9 +143,10 @@ def grow_trees(rows: DataFrame, features: list[str], trees: int = TREES, size: i
     A tree is arrays of (feature, split, left, right, path length); what comes back is bounded by trees and size.
     """
     n = max(rows.count(), 1)
-    rate = min(1.0, size / n)
-    picked = rows.select("id", F.array(*(F.col(f).cast("double") for f in features)).alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
-    picked = picked.where(F.pmod(F.xxhash64("tree", "id"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    # The trees that a row is drawn for are chosen before it is repeated for them; 2^53 steps suit any number of rows.
+    bar = int(min(1.0, size / n) * (1 << 53))
+    own = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.pmod(F.xxhash64(t, F.col("id")), F.lit(1 << 53)) < bar)
+    picked = rows.select("id", F.array(*(F.col(f).cast("double") for f in features)).alias("x"), own.alias("trees")).select("id", "x", F.explode("trees").alias("tree"))
 
     def average(m: float) -> float:
         return 0.0 if m <= 1 else 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m if m > 2 else 1.0

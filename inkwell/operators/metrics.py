@@ -19,12 +19,34 @@ def histogram(scores: DataFrame, score: str = "score", positive: str = "positive
     return materialize(got.select((F.col("bin") / 10**PLACES).alias("score"), "pos", "neg"), "histogram")
 
 
+def exact_curve(scores: DataFrame, score: str = "score", positive: str = "positive", parts: int = 64) -> DataFrame:
+    """The curve over every distinct score, not kept to places: (score, pos, neg, n_pos, n_neg, pos_below, neg_below, far, frr).
+
+    Scores are dealt to ranges and summed within each; the sums of the ranges, `parts` rows, come before them.
+    """
+    known = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+    ranged = materialize(known.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id()), "scores")
+    sums = ranged.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    before, all_ = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = sums.select("part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("p").over(all_).alias("n_pos"), F.sum("n").over(all_).alias("n_neg"))
+    up = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({"pos_below": F.coalesce(F.sum("pos").over(up), F.lit(0)), "neg_below": F.coalesce(F.sum("neg").over(up), F.lit(0))}).join(F.broadcast(ahead), "part")
+    out = out.select("score", "pos", "neg", "n_pos", "n_neg", (F.col("pos_below") + F.col("p0")).alias("pos_below"), (F.col("neg_below") + F.col("n0")).alias("neg_below"))
+    return _rates(out)
+
+
+def _rates(out: DataFrame) -> DataFrame:
+    far = F.try_divide((F.col("n_neg") - F.col("neg_below")).cast("double"), F.col("n_neg"))
+    return out.withColumns({"far": far, "frr": F.try_divide(F.col("pos_below").cast("double"), F.col("n_pos"))})
+
+
 def curve(hist: DataFrame) -> DataFrame:
-    """hist with totals, pairs below and at or above each score, and FAR and FRR there. One window over the bounded histogram."""
+    """hist with totals, pairs below and at or above each score, and FAR and FRR there. One window over the bounded histogram; an exact curve stays as it is."""
+    if "far" in hist.columns:
+        return hist
     up, all_ = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = hist.withColumns({"n_pos": F.sum("pos").over(all_), "n_neg": F.sum("neg").over(all_), "pos_below": F.coalesce(F.sum("pos").over(up), F.lit(0)), "neg_below": F.coalesce(F.sum("neg").over(up), F.lit(0))})
-    far = F.try_divide((F.col("n_neg") - F.col("neg_below")).cast("double"), F.col("n_neg"))
-    return out.withColumns({"far": far, "frr": F.try_divide(F.col("pos_below").cast("double"), F.col("n_pos"))})
+    return _rates(out)
 
 
 def _at_rank(hits: str, below: str, rank):

@@ -18,7 +18,8 @@ def sampled_grams(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, gram): every position whose gram falls in the sample, by a hash of the gram alone."""
     words = rows.select(F.col(id_col).alias("id"), overlap_words(F.col(text_col)).alias("w"))
     at = F.when(F.size("w") >= GRAM, F.sequence(F.lit(1), F.size("w") - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    grams = words.select("id", F.posexplode(F.transform(at, lambda i: F.md5(F.array_join(F.slice("w", i, F.lit(GRAM)), " ").cast("binary")))).alias("pos", "gram"))
+    # The outer form: the inner one makes the whole array a second time, for a filter of its size.
+    grams = words.select("id", F.posexplode_outer(F.transform(at, lambda i: F.md5(F.array_join(F.slice("w", i, F.lit(GRAM)), " ").cast("binary")))).alias("pos", "gram"))
     return grams.where(F.conv(F.substring("gram", 1, 4), 16, 10).cast("int") % ONE_IN == 0)
 
 

@@ -12,6 +12,7 @@ from inkwell.operators.medians import medians
 from inkwell.storage import materialize
 
 MAD_TO_DEVIATION, TINY = 1.4826, 1e-6
+# The weights of the heuristic blend, and the thresholds of scores that a fitted verifier gave.
 HEURISTIC = {"sim_char": 0.35, "sim_word": 0.25, "stylo_cosine": 0.15, "stylo_delta_sim": 0.25}
 MATCH, MISMATCH = 0.9261, 0.7589
 SHORT_WORDS, UNSURE_WORDS = 200, 800
@@ -122,13 +123,13 @@ def impostor_wins(vectors: DataFrame, authors: DataFrame, rounds: int = ROUNDS)
     return authors.select("id").withColumn("n_authors", F.lit(n_authors)).join(wins, "id", "left").select("id", F.coalesce("impostor_score", lone).alias("impostor_score"))
 
 
-def verdict(words: Column, quality: Column, foreign: Column, score: Column) -> Column:
+def verdict(words: Column, quality: Column, foreign: Column, score: Column, match: float = MATCH, mismatch: float = MISMATCH) -> Column:
     """In this order: short texts, weak profiles and foreign scripts are uncertain, then the thresholds decide."""
-    return F.when((words < SHORT_WORDS) | (quality == "insufficient") | foreign, "UNCERTAIN").when(score >= MATCH, "MATCH").when(score <= MISMATCH, "MISMATCH").otherwise("UNCERTAIN")
+    return F.when((words < SHORT_WORDS) | (quality == "insufficient") | foreign, "UNCERTAIN").when(score >= match, "MATCH").when(score <= mismatch, "MISMATCH").otherwise("UNCERTAIN")
 
 
-def confidence(words: Column, quality: Column, score: Column) -> Column:
-    sure = (score >= MATCH) | (score <= MISMATCH)
+def confidence(words: Column, quality: Column, score: Column, match: float = MATCH, mismatch: float = MISMATCH) -> Column:
+    sure = (score >= match) | (score <= mismatch)
     return F.when(words < UNSURE_WORDS, "very_low").when((quality == "insufficient") | ~sure, "low").when(quality == "limited", "medium").otherwise("high")
 
 

@@ -23,10 +23,11 @@ def terms_of(docs: DataFrame, kind: str, id_col: str, text_col: str) -> DataFram
     if kind == "word":
         words = docs.select(F.col(id_col).alias("id"), word_grams(F.col(text_col)).alias("w"))
         pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
-        return words.select("id", F.explode(F.concat("w", pairs)).alias("term"))
-    words = docs.select(F.col(id_col).alias("id"), F.explode(tx.tokens(F.lower(text_col))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+        # The outer form: the inner one makes the whole array a second time, for a filter of its size.
+        return words.select("id", F.explode_outer(F.concat("w", pairs)).alias("term")).where("term is not null")
+    words = docs.select(F.col(id_col).alias("id"), F.explode_outer(tx.tokens(F.lower(text_col))).alias("w")).where("w is not null").groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
     grams = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(5), F.length("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda o: F.substring("w", o, n))))
-    return words.select("id", F.explode(grams).alias("term"), "n")
+    return words.select("id", F.explode_outer(grams).alias("term"), "n")
 
 
 def counts(docs: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

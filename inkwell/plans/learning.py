@@ -6,11 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
+from inkwell.operators import attribution as at
+from inkwell.operators import books as bk
+from inkwell.operators import chunking as ck
 from inkwell.operators import learning as ln
 from inkwell.operators import machine_text as mt
-from inkwell.operators import metrics as mx
 from inkwell.operators import stylometry as st
+from inkwell.operators import verifier as vf
 from inkwell.plans import snippets as sq
+from inkwell.plans.chunks import SIZE
 from inkwell.plans.registry import query
 from inkwell.storage import materialize, table
 
@@ -94,92 +98,110 @@ def _style(spark, sf_dir):
     return materialize(measures.select("key.*", *measures.columns[1:]), "style"), measures.columns[1:]
 
 
+def _languages(spark, sf_dir):
+    """Texts whose author is their language and whose book is their source: sources have no style of their own in these tables."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("author"), F.col("source").alias("book"), F.col("source").alias("work"), "text")
+
+
+OUT_OF_FOLD = 3
+
+
+def out_of_fold(rows, names, label, group, reg, keep, folds=OUT_OF_FOLD):
+    """keep, predicted and p of every row, each judged by a regression that was fitted on the other folds of its groups."""
+    rows = materialize(rows.withColumn("_fold", ln.fold(F.col(group), folds)), "folded")
+    out = None
+    for k in range(folds):
+        train = rows.where(F.col("_fold") != k)
+        if train.select(label).distinct().count() < 2:
+            continue
+        model, _ = ln.logistic(train, names, label, reg)
+        part = ln.predictions(model, rows.where(F.col("_fold") == k), keep)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("attribution_predictions")
 def attribution_predictions(spark, sf_dir):
-    """Each document's author by a regression fitted on the other folds' books: fold 0 is judged by the model of the rest."""
-    rows, names = _style(spark, sf_dir)
-    rows = ln.index_labels(rows, "author", "label").withColumn("fold", ln.fold(F.concat("author", F.lit("::"), "book")))
-    model, _ = ln.logistic(rows.where("fold <> 0"), names, "label", 0.001)
-    got = ln.predictions(model, rows, ["doc_id", "author", "label", "fold"])
-    return got.select("doc_id", "author", F.col("label").cast("int").alias("label"), "fold", "predicted", F.array_max("p").alias("p"))
+    """Each document's author (language) by a regression on surface measures, fitted on the books of the other folds."""
+    texts = _languages(spark, sf_dir)
+    measures = st.stylometry(texts.select(F.struct(F.col("id").alias("doc_id"), "author", "work").alias("key"), "text"), "key")
+    rows = ln.index_labels(measures.select("key.*", *measures.columns[1:]), "author", "label")
+    got = out_of_fold(rows, measures.columns[1:], "label", "work", 0.001, ["doc_id", "author", "label"])
+    return got.select("doc_id", "author", F.col("label").cast("int").alias("label"), "predicted", F.array_max("p").alias("p"))
+
+
+def _attribution(spark, sf_dir):
+    texts = _languages(spark, sf_dir).withColumn("held", ln.fold(F.col("work"), 4) == 0)
+    return at.Attribution.fit(texts.where("not held").drop("held")), texts.where("held")
 
 
 @query("attribution_stack")
 def attribution_stack(spark, sf_dir):
-    """The same by a regression over three base models, which has seen only what they say of books they were not fitted on."""
-    rows, names = _style(spark, sf_dir)
-    rows = ln.index_labels(rows, "author", "label").withColumn("work", F.concat("author", F.lit("::"), "book")).withColumn("fold", ln.fold(F.col("work")))
-    rows = materialize(rows, "labelled")
-    got = ln.stack(rows.where("fold <> 0"), rows.where("fold = 0"), names, "label", "work", ["doc_id", "author", "label"])
-    return got.select("doc_id", "author", F.col("label").cast("int").alias("label"), "predicted", F.array_max("p").alias("p"))
+    """Held-out documents' authors (languages) by the stack over TF-IDF and surface measures; none of their books was learned from."""
+    model, asked = _attribution(spark, sf_dir)
+    got = asked.select("id", "author").join(model.scores(asked.select("id", "text")), "id")
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    return got.select(F.col("id").alias("doc_id"), "author", F.element_at(F.array(*map(F.lit, model.authors)), best).alias("predicted"), F.array_max("p").alias("p"))
+
+
+@query("attribution_by_scale")
+def attribution_by_scale(spark, sf_dir):
+    """Accuracy and macro-F1 of the stack on held-out books, for chunks and each of the smaller scales."""
+    model, asked = _attribution(spark, sf_dir)
+    chunks = ck.chunk_records(asked.select(F.struct("author", F.col("id").cast("string").alias("book")).alias("id"), "text"), SIZE, "id").select("id.author", "id.book", "chunk_id", "text", "word_count")
+    spans = bk.multiscale(chunks).select("author", "scale", F.concat_ws("|", "book", "chunk_id").alias("id"), "text")
+    spans = materialize(spans, "scales")
+    got = spans.select("id", "author", "scale").join(model.scores(spans.select("id", "text")), "id")
+    names = F.array(*map(F.lit, model.authors))
+    cells = got.groupBy("scale", "author", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("predicted")).agg(F.count("*").alias("n"))
+    hit = F.when(F.col("author") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = cells.select("scale", F.col("author").alias("name"), F.col("n").alias("t"), F.lit(0).alias("g"), hit.alias("h")).unionByName(cells.select("scale", F.col("predicted").alias("name"), F.lit(0).alias("t"), F.col("n").alias("g"), F.lit(0).alias("h")))
+    per = sides.groupBy("scale", "name").agg(F.sum("t").alias("t"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+    f1 = F.when(F.col("t") > 0, 2.0 * F.col("h") / (F.col("t") + F.col("g")))
+    return per.groupBy("scale").agg(F.sum("t").alias("n_rows"), (F.sum("h") / F.sum("t")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+
+
+@query("predicted_authors")
+def predicted_authors(spark, sf_dir):
+    """The ranked authors (languages) of each text of `benchmark`, by the geometric mean over its chunks."""
+    model, _ = _attribution(spark, sf_dir)
+    return model.predict(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), SIZE).withColumnRenamed("id", "item_id")
 
 
 @query("verifier_scores")
 def verifier_scores(spark, sf_dir):
-    """The chance that a text is its author's, from a balanced regression on drawn pairs of a text and a profile.
-
-    The features of a pair are the absolute differences of the text's surface measures from the profile's means,
-    over the population's deviations.
-    """
-    rows, names = _style(spark, sf_dir)
-    pairs = ln.draws(_texts(spark, sf_dir)).select("draw", "held_out", F.col("query_id").alias("doc_id"), F.explode(F.array(F.struct(F.col("author").alias("to"), F.lit(1.0).alias("label")), F.struct(F.col("rival").alias("to"), F.lit(0.0).alias("label")))).alias("x")).select("draw", "held_out", "doc_id", "x.to", "x.label")
-    sums = rows.groupBy("author", "book").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names))
-    profile = pairs.join(sums.withColumnRenamed("author", "to"), "to").where((F.col("label") == 0) | (F.col("book") != F.col("held_out"))).groupBy("draw", "doc_id", "to", "label").agg(*((F.sum(c) / F.sum("n")).alias(f"p_{c}") for c in names))
-    spread = rows.agg(*(F.stddev_pop(c).alias(c) for c in names)).first()
-    pairs = profile.join(rows.drop("author", "book"), "doc_id").select("draw", "doc_id", "to", "label", *((F.abs(F.col(c) - F.col(f"p_{c}")) / max(spread[c] or 0.0, 1e-6)).alias(c) for c in names))
-    pairs = materialize(pairs, "pairs")
-    n = max(pairs.count(), 1)
-    model, _ = ln.logistic(pairs, names, "label", 1 / (0.5 * n), weighted=True)
-    return ln.predictions(model, pairs, ["draw", "doc_id", "to", "label"]).select("draw", "doc_id", "to", F.col("label").cast("int").alias("label"), F.col("p")[1].alias("p"))
+    """Chances that held-out texts are of the profile's author (language), by a verifier that saw neither them nor their books."""
+    _, _, scores = vf.train(_languages(spark, sf_dir).drop("work"), draws=VERIFIER_DRAWS)
+    return scores.select(F.col("id").alias("doc_id"), F.col("profile").alias("to"), F.col("positive").cast("int").alias("label"), F.col("score").alias("p"))
 
 
-#: Texts of a profile and texts asked about, of each author at most, as the validation draws them.
-PROFILE_TEXTS, ASKED_TEXTS = 40, 40
+#: Draws an author of the registered queries.
+VERIFIER_DRAWS = 60
 
 
 @query("verifier_validation")
 def verifier_validation(spark, sf_dir):
-    """The metrics of a verifier on books and pairs it was not fitted on, one author being kept out of everything.
-
-    It is fitted on pairs drawn from the training books. Of the validation books, texts drawn by hash are held
-    against their author's profile of training texts and against that of the author who follows in a ring.
-    """
-    rows, names = _style(spark, sf_dir)
-    rows = rows.where(F.col("author") != OPEN_SET)
-    rows = materialize(rows.join(ln.book_split(rows), ["author", "book"]), "split")
-    train = rows.where("split = 'train'")
-    spread = train.agg(*(F.stddev_pop(c).alias(c) for c in names)).first()
-    apart = [(F.abs(F.col(c) - F.col(f"p_{c}")) / max(spread[c] or 0.0, 1e-6)).alias(c) for c in names]
-    sides = lambda df: df.withColumn("x", F.explode(F.array(F.struct(F.col("author").alias("to"), F.lit(1.0).alias("label")), F.struct(F.col("rival").alias("to"), F.lit(0.0).alias("label")))))
-
-    sums = train.groupBy("author", "book").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names)).withColumnRenamed("author", "to")
-    drawn = sides(ln.draws(train)).select("draw", "held_out", F.col("query_id").alias("doc_id"), "x.to", "x.label")
-    profile = drawn.join(sums, "to").where((F.col("label") == 0) | (F.col("book") != F.col("held_out"))).groupBy("draw", "doc_id", "to", "label").agg(*((F.sum(c) / F.sum("n")).alias(f"p_{c}") for c in names))
-    pairs = materialize(profile.join(train.select("doc_id", *names), "doc_id").select("label", *apart), "pairs")
-    model, _ = ln.logistic(pairs, names, "label", 1 / (0.5 * max(pairs.count(), 1)), weighted=True)
-
-    r = F.row_number().over(Window.partitionBy("author").orderBy(ln.keyed_hash("doc_id")))
-    first = lambda df, k: df.select("doc_id", "author").withColumn("r", r).where(F.col("r") <= k).drop("r")
-    means = first(train, PROFILE_TEXTS).join(train.drop("author"), "doc_id").groupBy(F.col("author").alias("to")).agg(*(F.avg(c).alias(f"p_{c}") for c in names))
-    ring = Window.orderBy(ln.keyed_hash("author"))  # a row for each author
-    follow = means.select(F.col("to").alias("author")).withColumn("rival", F.coalesce(F.lead("author").over(ring), F.first("author").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    asked = sides(first(rows.where("split = 'validation'"), ASKED_TEXTS).join(follow, "author")).select("doc_id", "x.to", "x.label")
-    held = asked.join(means, "to").join(rows.select("doc_id", *names), "doc_id").select("doc_id", "to", "label", *apart)
-    scores = ln.predictions(model, held, ["label"]).select(F.col("p")[1].alias("score"), (F.col("label") == 1).alias("positive"))
-    return mx.report(mx.curve(mx.histogram(scores)))
+    """The verifier's report and thresholds on books and pairs that it was not fitted on, one author being kept out of everything."""
+    _, verifier, _ = vf.train(_languages(spark, sf_dir).drop("work"), "es", VERIFIER_DRAWS)
+    names = sorted(verifier.report)
+    return spark.createDataFrame([(verifier.match, verifier.mismatch, *(float(verifier.report[n]) for n in names))], ", ".join(f"{n} double" for n in ("match", "mismatch", *names)))
 
 
 @query("ai_classifier_scores")
 def ai_classifier_scores(spark, sf_dir):
-    """The chance that a turn is a machine's, from the surface measures; turns of fewer than 40 alphabetic words have none."""
+    """The chance that a turn is a machine's, by a regression on the surface measures of the other folds' conversations.
+
+    Turns of fewer than 40 alphabetic words have no such chance; p is then the heuristic score.
+    """
     turns = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select(F.struct("conv_id", "turn", "role").alias("key"), "text")
     got = mt.surface(turns, "key")
     n = turns.select("key", F.size(tx.alphabetic(tx.tokens(F.col("text")))).alias("n_words"))
-    rows = materialize(got.select("key.*", *got.columns[1:]).withColumn("label", (F.col("role") == "assistant").cast("double")), "turns")
-    model, _ = ln.logistic(rows, got.columns[1:], "label", 0.01)
-    scored = ln.predictions(model, rows, ["conv_id", "turn", "role"])
+    rows = got.select("key.*", *got.columns[1:]).withColumn("label", (F.col("role") == "assistant").cast("double")).withColumn("group", F.col("conv_id").cast("string"))
+    scored = out_of_fold(rows, got.columns[1:], "label", "group", 0.01, ["conv_id", "turn", "role"])
     sized = n.select("key.conv_id", "key.turn", "n_words").groupBy("conv_id", "turn").agg(F.max("n_words").alias("n_words"))
-    return scored.join(sized, ["conv_id", "turn"]).select("conv_id", "turn", "role", F.when(F.col("n_words") >= 40, F.col("p")[1]).alias("p_machine"))
+    guess = mt.score(turns, "key").select("key.conv_id", "key.turn", F.col("ai_score").alias("guess")).groupBy("conv_id", "turn").agg(F.max("guess").alias("guess"))
+    chance = F.when(F.col("n_words") >= mt.LEAST_MODEL_WORDS, F.col("p")[1])
+    return scored.join(sized, ["conv_id", "turn"]).join(guess, ["conv_id", "turn"]).select("conv_id", "turn", "role", chance.alias("p_machine"), F.coalesce(chance, "guess").alias("p"))
 
 
 @query("novelty_pct")

@@ -20,6 +20,8 @@ CHUNKS = T.StructType([
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 # Limits on uploads.
 MAX_BYTES, MAX_PARAGRAPHS, MAX_WORDS = 20 * 1024 * 1024, 50_000, 60_000
+#: Bytes of a document's text part when unpacked.
+MAX_UNPACKED = 200 * 1024 * 1024
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -71,7 +73,10 @@ def sniff(content: bytes) -> str:
 
 def docx_text(content: bytes) -> str:
     """The non-empty paragraphs of a document, a blank line between each two."""
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    if archive.getinfo("word/document.xml").file_size > MAX_UNPACKED:
+        raise ValueError("file too large when unpacked")
+    root = ElementTree.fromstring(archive.read("word/document.xml"))
     texts = ["".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in root.iter(f"{_WORD}p")]
     if len(texts) > MAX_PARAGRAPHS:
         raise ValueError("too many paragraphs")

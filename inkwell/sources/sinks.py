@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.books import multiscale
+from inkwell.operators.encoder import exists
+from inkwell.storage import materialize
+
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """A data set of chunks as JSON lines; chunk_id is a chunk's ordinal in its book as a string."""
-    order = Window.partitionBy("author", "book").orderBy("chunk_id")
+    """A data set of chunks as JSON lines; chunk_id is a chunk's ordinal in its book as a string.
+
+    Chunks follow the number of their chunk_id; those whose id is no number come after, by name.
+    """
+    order = Window.partitionBy("author", "book").orderBy(F.expr("try_cast(chunk_id AS long)").asc_nulls_last(), "chunk_id")
     chunks.withColumn("chunk_id", (F.row_number().over(order) - 1).cast("string")).write.mode("overwrite").json(path)
 
 
@@ -32,6 +39,30 @@ def write_index(index: DataFrame, path: str, parts: int) -> None:
     index.repartitionByRange(parts, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
 
 
-def append_texts(texts: DataFrame, path: str, candidate: str) -> None:
-    """Registered texts are only ever appended, in a directory for each candidate."""
-    texts.write.mode("append").partitionBy(candidate).parquet(path)
+def append_texts(texts: DataFrame, path: str, candidate: str, source: str = "upload", registered_by: str | None = None) -> DataFrame:
+    """Append texts (candidate, text) to the store at a path and return the rows as written.
+
+    Texts are only ever appended, in a directory for each candidate: id, text, source, registered_by, added_at.
+    Ids go on from the largest there; a run's rows are numbered within the tasks that write them, whose first
+    numbers come from their counts, so no task sees them all. One run at a time may append to a store.
+    """
+    spark = texts.sparkSession
+    last = read_store(spark, path).agg(F.max("id")).first()[0] if exists(spark, path) else None
+    rows = materialize(texts.select(candidate, "text").withColumn("_part", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id()), "registered")
+    sums = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_own").alias("_first"))  # a row for each task
+    ahead = sums.select("_part", "_first", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    number = F.lit((last or 0) + 1) + F.col("_ahead") + F.col("_own") - F.col("_first")
+    made = rows.join(F.broadcast(ahead), "_part").select(candidate, number.cast("long").alias("id"), "text", F.lit(source).alias("source"), F.lit(registered_by).cast("string").alias("registered_by"), F.current_timestamp().alias("added_at"))
+    made = materialize(made, "numbered")
+    made.write.mode("append").partitionBy(candidate).parquet(path)
+    return made
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The registered texts; a filter on the candidate reads its directory alone."""
+    return spark.read.parquet(path)
+
+
+def write_multiscale(chunks: DataFrame, path: str) -> None:
+    """The multiscale data set of chunks, in hash order."""
+    write_shuffled(multiscale(chunks), path, "chunk_id")
