@@ -56,9 +56,19 @@ def shingles(words: Column, k: int, stride: int) -> Column:
     return F.when(n == 0, none).when(n < k, F.array(F.array_join(words, " "))).otherwise(many)
 
 
-def gram_set(words: Column, k: int, stride: int) -> Column:
-    """The sorted distinct hashes of the shingles."""
-    return F.array_sort(F.array_distinct(F.transform(shingles(words, k, stride), lambda g: F.xxhash64(g))))
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def gram_set(hashed: Column, k: int, stride: int) -> Column:
+    """The sorted distinct hashes of the shingles of words whose hashes are given, so no shingle is ever put together.
+
+    hashed should be a column of its own: each shingle slices it.
+    """
+    n = F.size(hashed)
+    at = F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)), F.lit(stride))
+    many = F.transform(at, lambda i: F.xxhash64(F.slice(hashed, i, F.lit(k))))
+    return F.array_sort(F.array_distinct(F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(hashed))).otherwise(many)))
 
 
 def sentence_boundary() -> str:

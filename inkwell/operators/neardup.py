@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import gram_set, tokens
+from inkwell.functions.text import gram_set, hashes, tokens
 from inkwell.storage import materialize
 
 WORDS, STRIDE, SIMILARITY = 50, 25, 0.6
@@ -13,8 +13,8 @@ WORDS, STRIDE, SIMILARITY = 50, 25, 0.6
 
 def gram_sets(docs: DataFrame, id_col: str, text_col: str, k: int, stride: int) -> DataFrame:
     """(id, grams) of the texts that have words."""
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.lower(text_col)).alias("words")).where(F.size("words") > 0)
-    return rows.select("id", gram_set(F.col("words"), k, stride).alias("grams"))
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.lower(text_col)).alias("words")).select("id", hashes(F.col("words")).alias("hashed"))
+    return rows.where(F.size("hashed") > 0).select("id", gram_set(F.col("hashed"), k, stride).alias("grams"))
 
 
 def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, stride: int = STRIDE) -> DataFrame:
@@ -40,8 +40,11 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     need = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
     prefix = F.slice("shared", F.lit(1), F.greatest((F.size("shared") - need + 1).cast("int"), F.lit(0)))
     lists = materialize(shared.select("rep", "n", F.col("shared.gram").alias("grams"), prefix["gram"].alias("prefix")).where(F.size("prefix") > 0), "prefixes")
-    index = lists.select("rep", F.explode("prefix").alias("gram"))
-    pairs = index.select(F.col("rep").alias("a_id"), "gram").join(index.select(F.col("rep").alias("b_id"), "gram"), "gram").where("a_id < b_id").select("a_id", "b_id").distinct()
+    index = lists.select("rep", "n", F.explode("prefix").alias("gram"))
+    # Sets that are too unlike in size can't be similar: such pairs end before any set travels for them.
+    alike = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-9
+    met = index.select(F.col("rep").alias("a_id"), F.col("n").alias("a_n"), "gram").join(index.select(F.col("rep").alias("b_id"), F.col("n").alias("b_n"), "gram"), "gram")
+    pairs = met.where(F.col("a_id") < F.col("b_id")).where(alike).select("a_id", "b_id").distinct()
     full = pairs.join(lists.select(F.col("rep").alias("a_id"), F.col("n").alias("a_n"), F.col("grams").alias("a_grams")), "a_id").join(lists.select(F.col("rep").alias("b_id"), F.col("n").alias("b_n"), F.col("grams").alias("b_grams")), "b_id")
     inter = F.size(F.array_intersect("a_grams", "b_grams"))
     jaccard = inter / (F.col("a_n") + F.col("b_n") - inter)

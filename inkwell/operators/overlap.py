@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import matches, rounded
+from inkwell.storage import materialize
 
 GRAM, ONE_IN, LEAST_WORDS, TOP = 8, 4, 20, 5
 
@@ -23,14 +24,26 @@ def sampled_grams(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return grams.where(F.conv(F.substring("gram", 1, 4), 16, 10).cast("int") % ONE_IN == 0)
 
 
-def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(gram, chunk): which texts hold a gram; write it partitioned and sorted by gram to keep it."""
-    return sampled_grams(corpus, id_col, text_col).select("gram", F.col("id").alias("chunk")).distinct()
+def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", queries: DataFrame | None = None, query_col: str = "text") -> DataFrame:
+    """(gram, chunk): which texts hold a gram; write it partitioned and sorted by gram to keep it.
 
+    With the queries at hand only their grams are kept, before anything of the corpus is shuffled or made distinct
+    if their grams are few enough for Spark to send them to all tasks.
+    """
+    grams = sampled_grams(corpus, id_col, text_col).select("gram", F.col("id").alias("chunk"))
+    if queries is not None:
+        wanted = sampled_grams(queries.select(F.lit(0).alias("id"), query_col), "id", query_col).select("gram").distinct()
+        grams = grams.join(materialize(wanted, "wanted-grams"), "gram", "left_semi")
+    return grams.distinct()
 
-def overlap(index: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, positions, hits, percent): sampled positions of each query, and how many stand in the corpus."""
-    grams = sampled_grams(queries, id_col, text_col)
+
+def overlap(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, gated: bool = False) -> DataFrame:
+    """(id, positions, hits, percent): sampled positions of each query, and how many stand in the corpus.
+
+    gated leaves texts of fewer than LEAST_WORDS words unasked, as the service does: they have no position.
+    """
+    asked = queries.where(F.size(overlap_words(F.col(text_col))) >= LEAST_WORDS) if gated else queries
+    grams = sampled_grams(asked, id_col, text_col)
     wanted = grams.select("gram").distinct()
     known = index.join(wanted, "gram", "left_semi").select("gram").distinct().withColumn("hit", F.lit(1))
     per = grams.join(known, "gram", "left").groupBy("id").agg(F.count("*").alias("positions"), F.count("hit").alias("hits"))

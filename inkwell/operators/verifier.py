@@ -204,7 +204,8 @@ def nearest(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame
     order = Window.partitionBy("profile").orderBy(F.col("id.id"))
     first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COMPARED).select("profile", F.col("id").alias("other"))
     words = texts.select("id", tx.tokens(F.lower("text")).alias("w")).where(F.size("w") > 0)
-    sets = materialize(words.select("id", tx.gram_set(F.col("w"), COPY_WORDS, COPY_STRIDE).alias("grams")), "copy-grams")
+    hashed = words.select("id", tx.hashes(F.col("w")).alias("h"))
+    sets = materialize(hashed.select("id", tx.gram_set(F.col("h"), COPY_WORDS, COPY_STRIDE).alias("grams")), "copy-grams")
     grams = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     mine = pairs.join(grams, "id")
     theirs = first.join(grams.select(F.col("id").alias("other"), F.col("n").alias("m"), "gram"), "other")

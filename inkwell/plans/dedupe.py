@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import fingerprint, gram_set, long_size, rounded, tokens
+from inkwell.functions.text import fingerprint, gram_set, hashes, long_size, rounded, tokens
 from inkwell.operators import neardup, overlap
 from inkwell.operators.skew import join_groups
 from inkwell.plans import snippets as sq
@@ -56,7 +56,8 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <
 @query("shingle_counts", f"WITH {_GRAMS} SELECT w.doc_id, count(g) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY 1")
 def shingle_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", tokens(F.lower("text")).alias("words"))
-    return rows.select("doc_id", long_size(gram_set(F.col("words"), neardup.WORDS, neardup.STRIDE)).alias("n_shingles"))
+    rows = rows.select("doc_id", hashes(F.col("words")).alias("hashed"))
+    return rows.select("doc_id", long_size(gram_set(F.col("hashed"), neardup.WORDS, neardup.STRIDE)).alias("n_shingles"))
 
 
 _CLASSES = f"""{_GRAMS}, k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k, count(*) AS n FROM s GROUP BY 1),
@@ -120,7 +121,7 @@ SELECT item_id, coalesce(positions, 0) AS positions, coalesce(hits, 0) AS hits,
 )
 def benchmark_overlap(spark, sf_dir):
     """How much of each benchmark item stands in the documents."""
-    index = overlap.build_index(table(spark, sf_dir, "documents"))
+    index = overlap.build_index(table(spark, sf_dir, "documents"), queries=table(spark, sf_dir, "benchmark"))
     return overlap.overlap(index, table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("id", "item_id")
 
 
@@ -131,7 +132,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, chunk) AS ra
 SELECT id AS item_id, chunk, n, {sq.rounded('100.0::DOUBLE * n / positions', 1)} AS percent, rank FROM r JOIN t USING (id) WHERE rank <= 5""",
 )
 def benchmark_overlap_top5(spark, sf_dir):
-    index = overlap.build_index(table(spark, sf_dir, "documents"))
+    index = overlap.build_index(table(spark, sf_dir, "documents"), queries=table(spark, sf_dir, "benchmark"))
     return overlap.top_sources(index, table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("id", "item_id")
 
 
