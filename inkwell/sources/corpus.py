@@ -41,7 +41,7 @@ def decoded(content: pd.Series) -> pd.Series:
 
 
 def read_books(spark: SparkSession, root: str) -> DataFrame:
-    """(author, book, text) of every .txt file one directory below root; directories that start with _ or . are skipped."""
+    """(author, book, text) of every .txt file one directory below root; directories that start with _ or . are skipped, and so are files of no bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{root}/*/")
     parts = F.split("path", "/")
     named = files.select(F.element_at(parts, -2).alias("author"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("book"), "content")
