@@ -192,6 +192,13 @@ def verdicts(texts: DataFrame, registered: DataFrame, pairs: DataFrame, encoder:
     )
 
 
+def registered(texts: DataFrame, most: int = en.PROFILE_TEXTS) -> DataFrame:
+    """The texts (author, id, text) that make up each author's profile: at most `most`, those of the least hashes."""
+    rank = F.row_number().over(Window.partitionBy("author").orderBy(_hash("id")))
+    first = texts.select("author", "id").withColumn("r", rank).where(F.col("r") <= most).drop("r")
+    return first.join(texts.select("id", "text"), "id").select("author", "id", "text")
+
+
 #: Registered texts of a profile that a text is held against for copies, those of the smallest ids, and the words of a shingle.
 COMPARED, COPY_WORDS, COPY_STRIDE = 50, 50, 25
 

@@ -168,6 +168,23 @@ def predicted_authors(spark, sf_dir):
     return model.predict(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), SIZE).withColumnRenamed("id", "item_id")
 
 
+@query("full_verdicts")
+def full_verdicts(spark, sf_dir):
+    """The whole record of each benchmark text against each profile (language): leakage, copies, impostors, verdict and reason."""
+    texts = _languages(spark, sf_dir)
+    encoder, verifier, _ = vf.train(texts.drop("work"), draws=VERIFIER_DRAWS)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    names = [r[0] for r in texts.select("author").distinct().orderBy("author").limit(MOST_PROFILES).collect()]
+    pairs = asked.select("id", F.explode(F.array(*map(F.lit, names))).alias("profile"))
+    pool = spark.createDataFrame([(a, b) for a in names for b in names if a != b], "profile string, impostor string")
+    registered = vf.registered(texts)
+    return vf.verdicts(asked, registered, pairs, encoder, verifier, pool).withColumnRenamed("id", "item_id")
+
+
+#: Profiles that a text is held against at once.
+MOST_PROFILES = 8
+
+
 @query("verifier_scores")
 def verifier_scores(spark, sf_dir):
     """Chances that held-out texts are of the profile's author (language), by a verifier that saw neither them nor their books."""

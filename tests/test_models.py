@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
-from inkwell.operators import attribution, books, chunking, encoder, learning, metrics, overlap, verifier
+from inkwell.operators import attribution, books, chunking, encoder, learning, machine_text, metrics, overlap, verifier
 from inkwell.plans import learning as plans
 from inkwell.sources import corpus, sinks
 
@@ -258,3 +258,11 @@ def test_learned_queries_give_what_they_should(spark):
     assert report.roc_auc > 0.9 and report.match >= report.mismatch
     turns = plans.ai_classifier_scores(spark, sf).collect()
     assert all(r.p is not None and 0 <= r.p <= 1 for r in turns) and any(r.p_machine is None for r in turns)
+
+
+def test_lexicon_hits_and_structural_measures(spark):
+    texts = spark.createDataFrame([(1, "Moreover, we delve and DELVE online. An applet, not an app."), (2, "Nothing here."), (3, None)], "doc_id long, text string")
+    got = {(r.id, r.kind, r.phrase): r.n for r in machine_text.lexicon_hits(texts).collect()}
+    assert got == {(1, "weak", "moreover"): 1, (1, "strong", "delve"): 2, (1, "modern", "online"): 1, (1, "modern", "app"): 1}
+    whole, part = machine_text.surface(texts.where("text is not null")), machine_text.structural(texts.where("text is not null"))
+    assert len(part.columns) == 14 and [c for c in whole.columns if c not in part.columns] == ["lexicon", "discourse"]
