@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.skew import HOT_LEAST, join_groups
 from inkwell.storage import drop, materialize
 
 MAX_ROUNDS = 60
@@ -27,24 +28,40 @@ def local_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (src, dst: long); component is the smallest node reachable.
 
-    Each round writes its edges to the shared folder and lasts two aggregations by node, whose partial
-    sums keep a node with very many neighbours from reaching one task whole. Null ends and loops are
-    ignored; an empty table gives an empty result. Rounds grow with the logarithm of the longest path.
+    Each round writes its edges to the shared folder and lasts two aggregations by node and two joins of
+    edges with their node's smallest neighbour. Partial sums keep a node with very many neighbours from
+    reaching one task in the former; in the latter such a node is dealt to parts by its count of neighbours,
+    as every centre of a large component is from the first round on. Null ends and loops are ignored; an
+    empty table gives an empty result. Rounds grow with the logarithm of the longest path.
     """
     u, v = F.col("u"), F.col("v")
     now = edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, before = materialize(now, "edges"), None
+    n_edges = now.count()
     for _ in range(MAX_ROUNDS):
+        made = []
+
+        def met(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+            if n_edges <= HOT_LEAST:  # no node can have more neighbours than there are edges
+                return rows.join(nodes.drop("n"), "u")
+            made.append(materialize(nodes, name))
+            return join_groups(rows, made[-1], ["u"], "n", "v").drop("n")
+
         # Large star: every larger neighbour of a node points to the node's smallest neighbour.
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
-        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
+        larger = F.count_if(v > u).alias("n")
+        least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"), larger).where("n > 0")
+        large = met(both.where(v > u), least, "least").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
         # Small star: every smaller neighbour points to the smallest one.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        if n_edges > HOT_LEAST:
+            made.append(large := materialize(large, "large"))  # both read below and in the search for hot nodes
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met(large, low, "low").select(v.alias("u"), F.col("m").alias("v")).where(u != v).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small, "edges")
         mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
-        drop(now)
+        n_edges = mark[0]
+        for old in (now, *made):
+            drop(old)
         now = after
         if mark == before:
             break

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.rings import following
 from inkwell.storage import materialize
 
 SEED, FOLDS, DRAWS, PROFILE_TEXTS = "42", 7, 12, 20
@@ -56,9 +57,7 @@ def draws(texts: DataFrame, id_col: str = "doc_id", author: str = "author", book
     held = texts.select(author, book).distinct().select(author, book, rounds)
     held = held.groupBy(author, "draw").agg(F.min_by(book, keyed_hash("draw", author, book)).alias("held_out"), F.count("*").alias("n_books")).where("n_books > 1").drop("n_books")
     asked = texts.select(id_col, author, F.col(book).alias("held_out")).join(held, [author, "held_out"]).groupBy(author, "draw", "held_out").agg(F.min_by(id_col, keyed_hash("draw", id_col)).alias("query_id"))
-    ring = Window.partitionBy("draw").orderBy(keyed_hash("draw", author))
-    first = F.first(author).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return asked.withColumn("rival", F.coalesce(F.lead(author).over(ring), first))
+    return following(asked, "draw", author, keyed_hash("draw", author), "rival")
 
 
 def logistic(rows: DataFrame, features: list[str], label: str, reg: float, scaled: bool = True, weighted: bool = False) -> tuple[Pipeline, DataFrame]:

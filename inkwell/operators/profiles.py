@@ -9,6 +9,8 @@ from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
 from inkwell.operators import stylometry, tfidf
 from inkwell.operators.medians import medians
+from inkwell.operators.rings import following
+from inkwell.operators.skew import join_groups
 from inkwell.storage import materialize
 
 MAD_TO_DEVIATION, TINY = 1.4826, 1e-6
@@ -102,25 +104,39 @@ def impostor_wins(vectors: DataFrame, authors: DataFrame, rounds: int = ROUNDS)
     """(id, impostor_score): how often a text is nearer to its author than to an impostor, over half of the terms each round.
 
     Terms and impostors of a round are drawn by hashes. An impostor is the author after one's own in the round's
-    order of hashes; without another author the score is 0.5. Wins are counted on cosines over the drawn terms.
+    order of hashes; without another author the score is 0.5, and a text without a known author or a term that
+    its author's texts have scores 0. Wins are counted on cosines over the drawn terms. The rounds that draw a
+    term are bits of a mask on the authors' sums, so a text meets its author and each of its impostors once,
+    not once a round; an author has as many impostors as there are rounds at most, whatever the input.
     """
-    sums = materialize(centroids(vectors, authors), "centroids")
-    half = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("round").cast("string"), "term").cast("binary")), 1, 2), 16, 10).cast("int") < 128
-    drawn = sums.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).where(half)
-    norms = drawn.groupBy("round", "author").agg(F.sum(F.col("total") * F.col("total")).alias("pp"))
-    names = authors.select("author").distinct().withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    order = F.array_sort(F.collect_list(F.struct(F.md5(F.concat_ws("|", F.col("round").cast("string"), "author").cast("binary")).alias("h"), "author")))
-    rings = names.groupBy("round").agg(order.alias("ring")).select("round", F.size("ring").alias("k"), F.posexplode("ring").alias("at", "own"), "ring")
-    rivals = rings.select("round", F.col("own.author").alias("author"), F.element_at("ring", (F.col("at") + 1) % F.col("k") + 1)["author"].alias("rival")).where("rival <> author")
-    texts = vectors.join(authors, "id").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).where(half)
-    aim = rivals.select("round", "author", F.explode(F.array(F.struct(F.col("author").alias("to"), F.lit(True).alias("mine")), F.struct(F.col("rival").alias("to"), F.lit(False).alias("mine")))).alias("x")).select("round", "author", "x.to", "x.mine")
-    dots = texts.join(F.broadcast(aim), ["round", "author"]).join(drawn.select("round", F.col("author").alias("to"), "term", "total"), ["round", "to", "term"])
-    dots = dots.groupBy("id", "round", "to", "mine").agg(F.sum(F.col("weight") * F.col("total")).alias("dot")).join(norms.select("round", F.col("author").alias("to"), "pp"), ["round", "to"])
-    side = lambda own: F.coalesce(F.max(F.when(F.col("mine") == own, F.col("dot") / F.sqrt("pp"))), F.lit(0.0))
-    wins = dots.groupBy("id", "round").agg((side(True) > side(False)).cast("int").alias("won")).groupBy("id").agg((F.sum("won") / rounds).alias("impostor_score"))
-    lone = F.when(F.col("n_authors") > 1, 0.0).otherwise(0.5)
-    n_authors = authors.select("author").distinct().count()
-    return authors.select("id").withColumn("n_authors", F.lit(n_authors)).join(wins, "id", "left").select("id", F.coalesce("impostor_score", lone).alias("impostor_score"))
+    bits = [1 << r for r in range(rounds)]
+    numbers = F.sequence(F.lit(1), F.lit(rounds))
+    hashed = lambda r, name: F.md5(F.concat_ws("|", r.cast("string"), F.col(name)).cast("binary"))
+    drawn = F.transform(numbers, lambda r: F.when(F.conv(F.substring(hashed(r, "term"), 1, 2), 16, 10).cast("int") < 128, F.call_function("shiftleft", F.lit(1).cast("long"), r - 1)).otherwise(F.lit(0).cast("long")))
+    every = centroids(vectors, authors)
+    masks = every.select("term").distinct().withColumn("mask", F.aggregate(drawn, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    sums = materialize(every.join(masks, "term"), "centroids")
+    by_round = lambda value: F.array(*(F.sum(F.when(F.col("mask").bitwiseAND(F.lit(b)) != 0, value)) for b in bits))
+    norms = sums.groupBy("author").agg(F.transform(by_round(F.col("total") * F.col("total")), F.sqrt).alias("norm"))
+
+    texts = authors.where(F.col("author").isNotNull())
+    sizes = materialize(texts.groupBy("author").agg(F.count("*").alias("n_texts")), "authors")
+    names = sizes.select("author", F.explode(numbers).alias("round"))
+    met = following(names, "round", "author", hashed(F.col("round"), "author"), "rival").where("rival <> author")
+    met = met.join(norms.select("author", F.col("norm").alias("own")), "author", "left").join(norms.select(F.col("author").alias("rival"), F.col("norm").alias("other")), "rival", "left")
+    at = F.struct("round", "rival", F.col("own")[F.col("round") - 1].alias("own"), F.col("other")[F.col("round") - 1].alias("other"))
+    rivals = materialize(met.groupBy("author").agg(F.collect_list(at).alias("met")).join(sizes, "author"), "rivals")
+
+    placed = join_groups(texts, rivals, ["author"], "n_texts", "id").select("id", "author", "met")
+    sides = F.explode(F.array_union(F.array("author"), F.col("met.rival"))).alias("to")
+    dots = vectors.join(placed.select("id", sides), "id").join(sums.select(F.col("author").alias("to"), "term", "total", "mask"), ["to", "term"])
+    dots = dots.groupBy("id", "to").agg(by_round(F.col("weight") * F.col("total")).alias("dot"))
+    found = dots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("to", "dot"))).alias("dots"))
+    cosine = lambda to, r, norm: F.coalesce(F.element_at(F.try_element_at("dots", to), r) / norm, F.lit(0.0))
+    won = F.filter("met", lambda m: cosine(F.col("author"), m["round"], m["own"]) > cosine(m["rival"], m["round"], m["other"]))
+    wins = placed.join(found, "id").select("id", (F.size(won) / rounds).alias("impostor_score"))
+    lone = 0.5 if len(sizes.head(2)) == 1 else 0.0
+    return authors.select("id").join(wins, "id", "left").select("id", F.coalesce("impostor_score", F.lit(lone)).alias("impostor_score"))
 
 
 def verdict(words: Column, quality: Column, foreign: Column, score: Column, match: float = MATCH, mismatch: float = MISMATCH) -> Column:

@@ -18,14 +18,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     HOT_SHARE of them, which bounds the broadcast. Their rows are dealt to parts by the column `spread` and the
     task that read them, so that equal or null values of it spread too; a key has as many parts as its rows
     are more than one key may hold, `salts` at least, and its group row is repeated for each. groups is read
-    twice: pass a written table. Keys must not be null where a match is wanted.
+    two or three times: pass a written table. Keys must not be null where a match is wanted.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    floor = max(total // HOT_SHARE, HOT_LEAST)
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    floor = max((total or 0) // HOT_SHARE, HOT_LEAST)
+    if (most or 0) <= floor:
+        return rows.join(groups, keys, how)
     parts = F.greatest(F.ceil(F.col(size) / floor).cast("int"), F.lit(salts))
     hot = groups.where(F.col(size) > floor).select(*keys, parts.alias("_ink_parts"))
-    if total <= HOT_LEAST or hot.isEmpty():
-        return rows.join(groups, keys, how)
     tagged = rows.withColumn("_ink_task", F.spark_partition_id()).join(F.broadcast(hot), keys, "left")
     salt = F.when(F.col("_ink_parts").isNotNull(), F.pmod(F.xxhash64(spread, "_ink_task"), F.col("_ink_parts"))).otherwise(F.lit(0)).cast("int")
     every = F.when(F.col(size) > floor, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -37,6 +38,33 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_deal_hot_nodes(spark, monkeypatch):
+    from inkwell.operators import components as cc
+
+    for module in (cc, skew):
+        monkeypatch.setattr(module, "HOT_LEAST", 5)
+    random.seed(2)
+    edges = [(500, k) for k in range(300)] + [(500, 600 + k) for k in range(300)] + [(1000 + k, 1001 + k) for k in range(20)] + [(random.randrange(2000, 2050), random.randrange(2000, 2050)) for _ in range(30)]
+    got = {r.node: r.component for r in cc.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    nodes = {x for a, b in edges for x in (a, b)}
+    want = components(nodes, edges)
+    assert all(got.get(n, n) == want[n] for n in nodes)
+
+
+def test_following_names_in_a_ring(spark, monkeypatch):
+    from inkwell.operators import rings
+
+    monkeypatch.setattr(rings, "DIGITS", 1)
+    names = [(d, f"a{k}") for d in range(3) for k in range((40, 3, 1)[d])]
+    rows = spark.createDataFrame(names, "draw int, name string")
+    digest = F.md5(F.concat_ws("|", "draw", "name").cast("binary"))
+    got = {(r.draw, r.name): r.next for r in rings.following(rows, "draw", "name", digest, "next").collect()}
+    for d in range(3):
+        order = sorted((n for e, n in names if e == d), key=lambda n: hashlib.md5(f"{d}|{n}".encode()).hexdigest())
+        assert all(got[d, n] == order[(k + 1) % len(order)] for k, n in enumerate(order))
+    assert rings.following(rows.limit(0), "draw", "name", digest, "next").count() == 0
+
+
 def test_local_forest_reaches_the_smallest():
     rng = np.random.default_rng(3)
     for n, m in itertools.product((1, 5, 50), (0, 3, 60)):
