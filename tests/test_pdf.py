@@ -1,0 +1,72 @@
+"""Text of PDF files made here by hand."""
+
+import zlib
+
+import pytest
+
+from inkwell.sources import corpus, pdf
+
+FONT = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
+
+
+def stream(body, entries=b"", packed=True):
+    data = zlib.compress(body) if packed else body
+    return b"<< /Length %d %s%s>>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode " if packed else b"", entries, data)
+
+
+def made(contents, font=FONT, more=(), packed=True):
+    """A file with a page for each content; objects from 1: catalog, pages, font, more, then page and content by turns."""
+    first = 4 + len(more)
+    kids = b" ".join(b"%d 0 R" % (first + 2 * k) for k in range(len(contents)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % (kids, len(contents)), font, *more]
+    for k, body in enumerate(contents):
+        objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (first + 2 * k + 1), stream(body, packed=packed)]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k + 1, o) for k, o in enumerate(objects)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_lines_and_pages(packed):
+    one = rb"BT /F1 12 Tf 72 700 Td (First \(line\)) Tj 0 -14 Td (second l\351ne) Tj T* ET"
+    two = b"BT /F1 10 Tf 14 TL 72 700 Td [(wo) 20 (rd) -600 (next)] TJ (up) ' <6865 78> ' ET"
+    assert pdf.pdf_text(made([one, b"", two], packed=packed)) == "First (line) second léne\n\nword next up hex"
+
+
+def test_words_placed_by_themselves():
+    font = FONT[:-2] + b"/FirstChar 97 /Widths [500 500 500 500] >>"
+    body = b"BT /F1 10 Tf 1 0 0 1 10 10 Tm (ab) Tj 1 0 0 1 20 10 Tm (cd) Tj 1 0 0 1 40 10 Tm (ab) Tj ET"
+    assert pdf.pdf_text(made([body], font)) == "abcd ab"
+
+
+def test_fonts_with_maps_and_differences():
+    cmap = stream(b"1 beginbfchar <0001> <00480069> endbfchar 2 beginbfrange <0002> <0004> <0061> <0005> <0006> [<0416> <D83DDE00>] endbfrange")
+    font = b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R /DescendantFonts [<< /W [1 [900] 2 6 500] >>] >>"
+    assert pdf.pdf_text(made([b"BT /F1 9 Tf <000100020003000400050006> Tj ET"], font, [cmap])) == "HiabcЖ\U0001f600"
+    font = b"<< /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /quoteright /fi /uni00E9 /x] >> >>"
+    assert pdf.pdf_text(made([rb"BT /F1 9 Tf (\001\002\003\004y) Tj ET"], font)) == "’fiéxy"
+
+
+def test_objects_in_streams_forms_and_images_within():
+    packed = b"1 0 2 %d 3 %d "
+    bodies = [b"<< /Type /Catalog /Pages 2 0 R >> ", b"<< /Type /Pages /Kids [3 0 R] >> ", b"<< /Type /Page /Contents 6 0 R /Resources << /Font << /F1 4 0 R >> /XObject << /X 7 0 R >> >> >> "]
+    heads = packed % (len(bodies[0]), len(bodies[0]) + len(bodies[1]))
+    objects = {
+        5: stream(heads + b"".join(bodies), b"/Type /ObjStm /N 3 /First %d " % len(heads)), 4: FONT,
+        6: stream(b"BI /W 1 ID \x00\xff)( EI BT /F1 9 Tf (own) Tj ET /X Do"), 7: stream(b"BT /F1 9 Tf (form) Tj ET /X Do", b"/Subtype /Form "),
+    }
+    data = b"%PDF-1.5\n" + b"".join(b"%d 0 obj %s endobj\n" % x for x in objects.items())
+    assert set(pdf.pdf_text(data).split()) == {"own", "form"} and pdf.pdf_text(data).startswith("own form")
+
+
+def test_bad_files_are_errors_of_their_own(monkeypatch):
+    page = b"BT /F1 9 Tf (x) Tj ET"
+    assert corpus.extract_text("a.pdf", made([page])) == ("x", None)
+    assert "pages" in corpus.extract_text("a.pdf", made([page] * (pdf.MAX_PAGES + 1)))[1]
+    assert corpus.extract_text("a.pdf", made([page] * pdf.MAX_PAGES))[1] is None
+    assert "encrypted" in corpus.extract_text("a.pdf", made([page]) + b"trailer << /Encrypt 9 0 R >>")[1]
+    assert corpus.extract_text("a.pdf", b"%PDF-1.4 junk")[1] == "no text"
+    assert corpus.extract_text("a.txt", made([page]))[1] and corpus.extract_text("a.pdf", b"plain")[1]
+    cut = made([page])
+    for at in range(0, len(cut), 7):  # never a crash
+        corpus.extract_text("a.pdf", cut[:at])
+    monkeypatch.setattr(pdf, "MAX_UNPACKED", 1000)
+    assert "unpacked" in corpus.extract_text("a.pdf", made([b" " * 5000]))[1]
