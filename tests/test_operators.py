@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 
 import numpy as np
@@ -251,3 +252,12 @@ def test_blend_reasons_and_composed_forms(spark):
     assert [r[0] for r in rows.select(profiles.reason(F.col("w"), F.col("q"), F.col("f"))).collect()] == ["short", "profile", "script", ""]
     texts = spark.createDataFrame([("Cafe\u0301",), (None,), ("",), ("\u212b",)], "t string")
     assert [r[0] for r in texts.select(composed("t")).collect()] == ["Caf\u00e9", None, "", "\u00c5"]
+
+
+@pytest.mark.parametrize("module", ["chunks", "profiles", "verdicts"])
+def test_a_module_of_queries_can_be_imported_first(module):
+    import subprocess
+    import sys
+
+    code = f"from inkwell.plans import {module}; from inkwell.plans.registry import QUERIES; assert len(QUERIES) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
