@@ -26,10 +26,28 @@ LEAF_BYTES = 32
 SEGMENT = 1 << 16
 #: Bytes of text coded at a time, and distinct matches remembered from one step to the next.
 STEP_BYTES, MEMO_UNITS = 8 << 20, 300_000
+#: Stands for the rank of a pair that is no token.
+NO_RANK = 1 << 40
 #: Characters that decide whether a match goes on as a contraction: an apostrophe and two letters.
 CONTRACTION = 3
 
 
+class Numbers(dict):
+    """The number of each key, in the order in which keys are first asked for."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+class Matches(Memo):
+    """Matches already coded: their numbers, and the ids of all in one array."""
+
+    def __init__(self):
+        super().__init__()
+        self.known = Numbers()
+
+
 class Ranks:
     """A vocabulary of byte strings with merge ranks, which are the ids, and the pattern that splits a text before the merges."""
 
@@ -38,6 +56,11 @@ class Ranks:
         self.table = [b""] * (max(ranks.values()) + 1)
         for raw, rank in ranks.items():
             self.table[rank] = raw
+        self.single = np.array([ranks[bytes([c])] for c in range(256)], np.int64)
+        splits = [(ranks[raw[:k]], ranks[raw[k:]], rank) for raw, rank in ranks.items() for k in range(1, len(raw)) if raw[:k] in ranks and raw[k:] in ranks]
+        keys = np.array([a << 32 | b for a, b, _ in splits], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.merges = keys[order], np.array([r for _, _, r in splits], np.int64)[order]
         self._compile()
 
     def _compile(self) -> None:
@@ -96,6 +119,36 @@ class Ranks:
                 heapq.heappush(heap, (r, p, stop))
         return [ranks[raw[k : end[k]]] for k in range(n) if end[k]]
 
+    def merged_aligned(self, rows: np.ndarray) -> list[np.ndarray]:
+        """merged() for many byte strings of one length at once: a row of bytes each. A round merges one pair of every row that has one."""
+        ids, numbers = self.single[rows], np.arange(len(rows))
+        ranks = self._rank_of(ids[:, :-1], ids[:, 1:])
+        coded: list = [None] * len(rows)
+        while len(ids):
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(ids), np.int64)
+            best = ranks[np.arange(len(ids)), at] if ranks.shape[1] else np.full(len(ids), NO_RANK)
+            for k, row in zip(numbers[best == NO_RANK].tolist(), ids[best == NO_RANK].astype(np.int32)):
+                coded[k] = row
+            more = best < NO_RANK
+            ids, ranks, numbers, at, best = ids[more], ranks[more], numbers[more], at[more], best[more]
+            r = np.arange(len(ids))
+            ids[r, at] = best
+            places = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, places + (places > at[:, None]), axis=1)
+            places = places[:-1]
+            ranks = np.take_along_axis(ranks, places + (places >= at[:, None]), axis=1)
+            for shift in (-1, 0):
+                some = np.flatnonzero((at + shift >= 0) & (at + shift < len(places)))
+                k = at[some] + shift
+                ranks[some, k] = self._rank_of(ids[some, k], ids[some, k + 1])
+        return coded
+
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of tokens a and b, NO_RANK where there is none."""
+        keys = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.merges[at], NO_RANK)
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of two coded byte strings put together.
 
@@ -114,6 +167,24 @@ class Ranks:
                 return [*left[: len(left) - a], *inner, *right[b:]]
             a, b = a if holds_left else 2 * a, b if holds_right else 2 * b
 
+    def encode_matches(self, found: list[bytes]) -> list[np.ndarray]:
+        """encode_match() of each: those of one length together, long or rare lengths one by one."""
+        coded: list = [None] * len(found)
+        by_size: dict[int, list[int]] = {}
+        for k, raw in enumerate(found):
+            if (whole := self.ranks.get(raw)) is not None:
+                coded[k] = np.array([whole], np.int32)
+            else:
+                by_size.setdefault(len(raw), []).append(k)
+        for size, at in by_size.items():
+            if size > LEAF_BYTES or len(at) < 8:
+                for k in at:
+                    coded[k] = np.array(self.encode_match(found[k]), np.int32)
+            else:
+                for k, ids in zip(at, self.merged_aligned(np.frombuffer(b"".join([found[k] for k in at]), np.uint8).reshape(len(at), size))):
+                    coded[k] = ids
+        return coded
+
     def encode_match(self, raw: bytes) -> list[int]:
         """The ids of one match: as a whole if it is a token, else by halves."""
         if (whole := self.ranks.get(raw)) is not None:
@@ -161,14 +232,14 @@ class Ranks:
             return self.find(text)
         return reduced([self.find(text[k : k + SEGMENT]) for k in range(0, len(text), SEGMENT)], self.joined_matches)
 
-    def encode_batch(self, texts: list[str], memo: Memo | None = None) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[str], memo: Matches | None = None) -> list[np.ndarray]:
         """The ids of each text; each distinct match is coded once."""
-        memo = Memo() if memo is None else memo
+        memo = Matches() if memo is None else memo
         if len(memo.known) > MEMO_UNITS:
             memo.__init__()
         before, known, out = len(memo.known), memo.known, []
-        rows = [np.array([known.setdefault(m, len(known)) for m in self.matches(t)], np.int64) for t in texts]
-        memo.add([np.array(self.encode_match(m.encode()), np.int32) for m in islice(known, before, None)])
+        rows = [np.fromiter(map(known.__getitem__, found), np.int64, len(found)) for found in map(self.matches, texts)]
+        memo.add(self.encode_matches([m.encode() for m in islice(known, before, None)]))
         for row in rows:
             n = memo.lengths[row]
             ends = np.cumsum(n)
@@ -211,7 +282,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     shared = docs.sparkSession.sparkContext.broadcast(Ranks.load(path, pattern))
 
     def run(batches):
-        vocab, memo = shared.value, Memo()
+        vocab, memo = shared.value, Matches()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in steps([len(t) for t in texts]):
