@@ -4,23 +4,24 @@ from __future__ import annotations
 
 # --- Fixed values ---------------------------------------------------------------------------------------------
 
+# Lines of licence and production notes; case is ignored.
 BOILERPLATE_LINES = (
-    r"produced by .*",
-    r"transcriber['’]s note[:s]*.*",
-    r"\[transcriber['’]s note.*?\]\s*",
-    r"this (?:ebook|etext) is for the use of anyone.*",
-    r"updated editions will replace.*",
-    r"creating the works from (?:public domain|print).*",
-    r"www\.gutenberg\.(?:org|net).*",
-    r"title:\s.*",
-    r"author:\s.*",
-    r"release date:\s.*",
-    r"language:\s.*",
-    r"character set encoding:\s.*",
-    r"credits?:\s.*",
-    r"ebook no\.?:.*",
-    r"most recently updated:.*",
-    r"project gutenberg['’]s .*, by .*",
+    r"^\s*Produced by .*$",
+    r"^\s*Transcriber('|’)s Note[:s]*.*$",
+    r"^\s*\[Transcriber('|’)s Note.*?\]\s*$",
+    r"^\s*This (?:e[Bb]ook|etext) is for the use of anyone.*$",
+    r"^\s*Updated editions will replace.*$",
+    r"^\s*Creating the works from (?:public domain|print).*$",
+    r"^\s*www\.gutenberg\.(org|net).*$",
+    r"^\s*Title:\s.*$",
+    r"^\s*Author:\s.*$",
+    r"^\s*Release [Dd]ate:\s.*$",
+    r"^\s*Language:\s.*$",
+    r"^\s*Character set encoding:\s.*$",
+    r"^\s*Credits?:\s.*$",
+    r"^\s*eBook No\.?:.*$",
+    r"^\s*Most recently updated:.*$",
+    r"^\s*Project Gutenberg('|’)s .*, by .*$",
 )
 BODY_START = r"\*{3}\s*START OF (?:THE|THIS) PROJECT GUTENBERG[^\n]*\*{3}"
 BODY_END = r"\*{3}\s*END OF (?:THE|THIS) PROJECT GUTENBERG[^\n]*\*{3}"
@@ -101,16 +102,18 @@ WEAK_TRANSITIONS = (
 ANACHRONISMS = ("internet", "online", "email", "smartphone", "computer", "website", "app", "software", "algorithm", "data-driven")
 OPENERS = ("In today's", "In this", "This comprehensive", "This essay", "This analysis")
 
+# Signals of machine writing: their weights, the patterns they count and where each is full.
+SIGNAL_WEIGHTS = {"lexicon": 0.25, "discourse": 0.25, "list_of_three": 0.10, "uniformity": 0.15, "paragraph_uniformity": 0.15, "markup": 0.10}
+TRIPLE = r"(?U)\b\w+(?:,\s+\w[\w'-]*){1,2},?\s+(?:and|or)\s+\w[\w'-]*\b"
+MARKUP = (r"(?m)^\s*[-*•]\s+\S", r"(?m)^\s*\d{1,2}[.)]\s+\S", r"(?m)^\s{0,3}#{1,6}\s+\S", r"\*\*[^*\n]{2,60}\*\*")
+CONTRACTION = r"(?iU)\b\w+'(?:t|re|ve|ll|d|s|m)\b"
+FIRST_PERSON = r"(?U)\b(?:I|me|my|mine|we|us|our)\b"
+STRONG_POINTS, WEAK_POINTS, MODERN_POINTS, LEXICON_FULL = 3.0, 1.0, 2.0, 10.0
+LEAST_SENTENCES, OPENERS_FULL, TRIPLES_FULL = 3, 0.35, 2.0
+SENTENCE_VARIATION, SENTENCE_WIDTH, PARAGRAPH_VARIATION, PARAGRAPH_WIDTH = 0.55, 0.4, 0.70, 0.5
+LEXICON_WORDS, TRIPLE_WORDS, MARKUP_WORDS = 1000.0, 500.0, 300.0
+
 LENGTH_BANDS = ((200, "<200"), (400, "200-400"), (800, "400-800"), (1500, "800-1500"))
 SCALE_BANDS = ((900, "large"), (600, "medium"), (250, "semi_small"), (60, "window"))
 
 # --------------------------------------------------------------------------------------------------------------
-
-
-def chapter_heading() -> str:
-    """A line that opens a chapter: one of the words, then at most 60 characters."""
-    return CHAPTER_HEADING
-
-
-def boilerplate_line() -> str:
-    return rf"(?i)^\s*(?:{'|'.join(BOILERPLATE_LINES)})$"

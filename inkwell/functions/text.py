@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,7 +147,9 @@ def body(text: Column) -> Column:
 
 
 def without_boilerplate(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda s: ~s.rlike(lx.boilerplate_line())), "\n")
+    """The lines of text that none of the boilerplate patterns matches."""
+    noted = lambda s: reduce(or_, (s.rlike(f"(?i){p}") for p in lx.BOILERPLATE_LINES))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda s: ~noted(s)), "\n")
 
 
 def without_notes(text: Column) -> Column:
@@ -162,7 +167,7 @@ def typography(text: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    return line.rlike(lx.chapter_heading())
+    return line.rlike(lx.CHAPTER_HEADING)
 
 
 def without_contents(lines: Column) -> Column:

@@ -94,7 +94,7 @@ def chunk_records(docs: DataFrame, size: Sizes = Sizes(), id_col: str = "doc_id"
     chunk only text, words and closing flag follow. Chapter headings are dropped and counted. A text is cut by
     itself, so no group of rows meets in a task. The id is of any type and is carried along.
     """
-    heading, boundary = re.compile(lx.chapter_heading()), None
+    heading, boundary = re.compile(lx.CHAPTER_HEADING), None
 
     def records(row, lines, sentences_of):
         paras, chapter, seen, starts = [], 0, None, []

@@ -55,10 +55,10 @@ def clean_old_end(spark, sf_dir):
     return _docs(spark, sf_dir, "*END*THE SMALL PRINT and so\non\n\n", _OLD).select("doc_id", t.alias("t")).select("doc_id", _hash(F.col("t")).alias("h"), F.length("t").cast("long").alias("n"))
 
 
-_BOILER = lx.boilerplate_line().replace("'", "''")
+_BOILER = " OR ".join("regexp_matches(s, '(?i)" + p.replace("'", "''") + "')" for p in lx.BOILERPLATE_LINES)
 
 
-@query("clean_boilerplate", f"WITH {_sql(CREDITS)}, c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: NOT regexp_matches(s, '{_BOILER}')) AS l FROM d) SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS h FROM c")
+@query("clean_boilerplate", f"WITH {_sql(CREDITS)}, c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: NOT ({_BOILER})) AS l FROM d) SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS h FROM c")
 def clean_boilerplate(spark, sf_dir):
     rows = _docs(spark, sf_dir, CREDITS).select("doc_id", tx.without_boilerplate(F.col("text")).alias("t"))
     return rows.select("doc_id", tx.long_size(F.split("t", "\n")).alias("n_lines"), _hash(F.col("t")).alias("h"))

@@ -34,7 +34,7 @@ def _doubled(words) -> str:
 _LITERAL = "'" + PASSAGE.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 _SOURCE = f"SELECT doc_id AS id, CASE WHEN doc_id % {SPARSE} <> 0 THEN {_LITERAL} || text ELSE text END AS text FROM documents"
 _FIND = lambda words, ends: f"len(regexp_extract_all(dbl, '(?i)(?:^|[^a-zA-Z])(?:{_doubled(words)})" + ("(?:[^a-zA-Z]|$)" if ends else "") + "'))"
-_MARKS = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in mt.MARKUP)
+_MARKS = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in lx.MARKUP)
 _TRIPLE = "[\\p{L}\\p{N}_]+(?:,\\s+[\\p{L}\\p{N}_][\\p{L}\\p{N}_''-]*){1,2},?\\s+(?:and|or)\\s+[\\p{L}\\p{N}_][\\p{L}\\p{N}_''-]*"
 
 
@@ -47,7 +47,7 @@ b AS (SELECT *, greatest(len(words), 1) AS n, list_transform(sents, lambda x: le
   len(regexp_extract_all(text, '{_TRIPLE}')) AS triples, {_MARKS} AS marks FROM a),
 g AS (SELECT *, {sq.clip('1000.0::DOUBLE * (3.0 * strong + weak + 2.0 * modern) / n / 10.0')} AS lexicon, CASE WHEN len(sents) >= 3 THEN {sq.clip('openers / len(sents) / 0.35')} ELSE 0.0::DOUBLE END AS discourse,
   {sq.clip('500.0::DOUBLE * triples / n / 2.0')} AS list_of_three, {even('sl', 0.55, 0.4)} AS uniformity, {even('pl', 0.7, 0.5)} AS paragraph_uniformity, {sq.clip('300.0::DOUBLE * marks / n')} AS markup FROM b),
-z AS (SELECT *, {sq.clip(' + '.join(f'{w} * {k}' for k, w in mt.WEIGHTS.items()))} AS ai_score FROM g)"""
+z AS (SELECT *, {sq.clip(' + '.join(f'{w} * {k}' for k, w in lx.SIGNAL_WEIGHTS.items()))} AS ai_score FROM g)"""
 
 
 _Z = _signals_sql(_SOURCE)
@@ -69,9 +69,9 @@ def ai_lexicon(spark, sf_dir):
     return rows.select("doc_id", *(F.col(c).cast("long").alias(f"n_{c}") for c in ("strong", "weak", "modern")), tx.rounded(mt.signals()["lexicon"]).alias("lexicon"))
 
 
-@query("ai_heuristic_score", f"WITH {_Z} SELECT id AS doc_id, {_R(*mt.WEIGHTS, 'ai_score')} FROM z")
+@query("ai_heuristic_score", f"WITH {_Z} SELECT id AS doc_id, {_R(*lx.SIGNAL_WEIGHTS, 'ai_score')} FROM z")
 def ai_heuristic_score(spark, sf_dir):
-    return _pick(*mt.WEIGHTS, "ai_score")(spark, sf_dir)
+    return _pick(*lx.SIGNAL_WEIGHTS, "ai_score")(spark, sf_dir)
 
 
 _SUFFIXES = sq.quoted(("t", "re", "ve", "ll", "d", "s", "m"))
@@ -80,7 +80,7 @@ _SUFFIXES = sq.quoted(("t", "re", "ve", "ll", "d", "s", "m"))
 @query(
     "ai_surface_features",
     f"""WITH {_Z}, s AS (SELECT *, CASE WHEN len(sl) > 0 THEN sl ELSE [0.0::DOUBLE] END AS sl0, list_transform(words, lambda w: length(w)::DOUBLE) AS wl FROM z)
-SELECT id AS doc_id, {_R(*mt.WEIGHTS)}, {sq.rounded('list_avg(sl0)')} AS avg_sentence_len, {sq.rounded('list_stddev_pop(sl0)', 5)} AS std_sentence_len, {sq.rounded('coalesce(list_avg(wl), 0.0)')} AS avg_word_len,
+SELECT id AS doc_id, {_R(*lx.SIGNAL_WEIGHTS)}, {sq.rounded('list_avg(sl0)')} AS avg_sentence_len, {sq.rounded('list_stddev_pop(sl0)', 5)} AS std_sentence_len, {sq.rounded('coalesce(list_avg(wl), 0.0)')} AS avg_word_len,
 {sq.rounded("len(list_distinct(list_transform(words, lambda w: trim(lower(w), '.,;:!?" + chr(34) + "''()')))) / n")} AS type_token_ratio, {sq.rounded(f"100.0::DOUBLE * {sq.occurrences('text', ',')} / n")} AS comma_per_100w, {sq.rounded(f"100.0::DOUBLE * {sq.occurrences('text', ';')} / n")} AS semicolon_per_100w,
 {sq.rounded(f"100.0::DOUBLE * len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+''[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(split_part(w, '''', 2)) IN ({_SUFFIXES}))) / n")} AS contraction_per_100w,
 {sq.rounded("100.0::DOUBLE * len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: w IN ('I', 'me', 'my', 'mine', 'we', 'us', 'our'))) / n")} AS first_person_per_100w,
@@ -100,7 +100,7 @@ def ai_tiers(spark, sf_dir):
     """Score and tier; texts of fewer than 50 words are not judged."""
     docs = _docs(spark, sf_dir)
     scored = mt.counted(docs, "doc_id", "text").select("doc_id", "words", *(v.alias(k) for k, v in mt.signals().items()))
-    raw = tx.clip(sum((w * F.col(k) for k, w in mt.WEIGHTS.items()), F.lit(0.0)))
+    raw = tx.clip(sum((w * F.col(k) for k, w in lx.SIGNAL_WEIGHTS.items()), F.lit(0.0)))
     judged = scored.select("doc_id", F.when(F.size("words") >= 50, raw).alias("ai_score"))
     return judged.select("doc_id", tx.rounded(F.col("ai_score")).alias("ai_score"), mt.tier(F.col("ai_score")).alias("tier"))
 
@@ -117,5 +117,5 @@ def ai_paragraph_means(spark, sf_dir):
     """Scores of a text's paragraphs (lines of ten words or more): their mean, the mean by words, and how many are red."""
     lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
     scored = mt.counted(lines.select(F.struct("doc_id", tx.word_count(F.col("text")).alias("w")).alias("id"), "text"), "id", "text").where(F.size("words") >= 10).select("id", *(v.alias(k) for k, v in mt.signals().items()))
-    scored = scored.select("id", tx.clip(sum((w * F.col(k) for k, w in mt.WEIGHTS.items()), F.lit(0.0))).alias("s"))
+    scored = scored.select("id", tx.clip(sum((w * F.col(k) for k, w in lx.SIGNAL_WEIGHTS.items()), F.lit(0.0))).alias("s"))
     return scored.groupBy(F.col("id.doc_id").alias("doc_id")).agg(F.count("*").alias("n_paragraphs"), tx.rounded(F.avg("s")).alias("ai_mean"), tx.rounded(F.sum(F.col("s") * F.col("id.w")) / F.sum("id.w")).alias("ai_weighted"), F.count_if(F.col("s") >= mt.RED).alias("n_red"))

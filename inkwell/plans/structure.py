@@ -79,7 +79,7 @@ def _headed(line, pos):
     "chapter_index",
     f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 p AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN 'Chapter ' || s ELSE s END AS s FROM l),
-h AS (SELECT *, regexp_matches(s, '{lx.chapter_heading()}') AND len({sq.tokens('s')}) <= 10 AS head FROM p),
+h AS (SELECT *, regexp_matches(s, '{lx.CHAPTER_HEADING}') AND len({sq.tokens('s')}) <= 10 AS head FROM p),
 c AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS chapter FROM h),
 k AS (SELECT *, lag(chapter) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM chapter AS opens FROM c WHERE NOT head AND trim(s) <> '')
 SELECT doc_id, count(*) AS n_paragraphs, count(DISTINCT chapter) AS n_chapters, count(*) FILTER (opens) AS n_boundaries FROM k GROUP BY 1""",
@@ -88,7 +88,7 @@ def chapter_index(spark, sf_dir):
     """Paragraphs (lines) by chapter: headings count up and are dropped; every fourth line gets a heading's word, and is one if it is short."""
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "s")).withColumn("s", _headed(F.col("s"), F.col("pos")))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    head = F.col("s").rlike(lx.chapter_heading()) & (tx.word_count(F.col("s")) <= 10)
+    head = F.col("s").rlike(lx.CHAPTER_HEADING) & (tx.word_count(F.col("s")) <= 10)
     chapters = rows.withColumn("head", head).withColumn("chapter", F.sum(F.col("head").cast("int")).over(w)).where("not head and trim(s) <> ''")
     opens = ~F.lag("chapter").over(w).eqNullSafe(F.col("chapter"))
     return chapters.withColumn("opens", opens).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.count_distinct("chapter").alias("n_chapters"), F.count_if("opens").alias("n_boundaries"))

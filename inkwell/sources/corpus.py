@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.sources.pdf import pdf_text
 
 CHUNKS = T.StructType([
     T.StructField("author", T.StringType()), T.StructField("book", T.StringType()), T.StructField("chunk_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("word_count", T.IntegerType()),
@@ -93,7 +92,9 @@ def extract_text(name: str, content: bytes) -> tuple[str | None, str | None]:
         kind, suffix = sniff(content), (re.search(r"\.(\w+)$", name.lower()) or [None, ""])[1]
         if {"txt": "text", "docx": "docx", "pdf": "pdf"}.get(suffix) != kind:
             raise ValueError(f"content is {kind}, not what the name says")
-        text = {"docx": docx_text, "pdf": pdf_text}.get(kind, lambda b: b.decode("utf-8", "replace"))(content)
+        if kind == "pdf":
+            raise ValueError("unsupported: pdf")
+        text = docx_text(content) if kind == "docx" else content.decode("utf-8", "replace")
         if len(text.split()) > MAX_WORDS:
             raise ValueError("too many words")
         if not text.strip():

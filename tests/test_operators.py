@@ -231,17 +231,6 @@ def test_medians_of_ties_nulls_and_many_rows(spark, monkeypatch):
     assert medians(spark.createDataFrame([], "k int, id long, v double"), ["k"], "v", "id").count() == 0
 
 
-def test_stack_tells_classes_apart_and_bears_a_fold_without_one(spark):
-    from inkwell.operators import learning
-
-    rng = np.random.default_rng(12)
-    rows = [(k, float(k % 3), f"g{k % 3}{k % 12 // 3}" if k % 3 else "only", float(rng.normal(k % 3 * 3)), float(rng.normal(-(k % 3)))) for k in range(240)]
-    df = spark.createDataFrame(rows, "id long, label double, work string, a double, b double")
-    got = learning.stack(df.where("id < 180"), df.where("id >= 180"), ["a", "b"], "label", "work", ["id", "label"]).collect()
-    assert len(got) == 60 and np.mean([r.predicted == r.label for r in got]) > 0.6
-    assert all(abs(sum(r.p) - 1) < 1e-9 and len(r.p) == 3 for r in got)
-
-
 def test_blend_reasons_and_composed_forms(spark):
     from inkwell.functions.unicode import composed
 
