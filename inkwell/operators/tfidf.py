@@ -1,60 +1,161 @@
-"""TF-IDF vectors in long form: sublinear counts, smooth document frequencies, unit length."""
+"""TF-IDF by row: sublinear counts, smooth document frequencies, unit length; a text's terms never leave its row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.functions import text as tx
-from inkwell.storage import materialize
+from inkwell.storage import materialize, spread
 
 #: (terms at most, share of texts that a term may stand in); terms of one text only are left out.
 WORD, CHAR = (15_000, 0.90), (20_000, 0.95)
 LEAST_TEXTS = 2
+#: Rows taken from a batch at a time; terms, and tokens with their terms, that a task holds before it passes sums on.
+ROWS, HELD_TERMS, HELD_TOKENS = 256, 500_000, 200_000
+LONGEST_GRAM = 5
+
 
+def tokens_of(text: Column, kind: str) -> Column:
+    """The lower-cased tokens that terms are made of: words of two or more characters, or what white space parts."""
+    return tx.matches(F.lower(text), r"(?U)\b\w\w+\b") if kind == "word" else tx.tokens(F.lower(text))
 
-def word_grams(text: Column) -> Column:
-    """Words of two or more characters and their pairs. The words should be a column: see terms_of()."""
-    return tx.matches(F.lower(text), r"(?U)\b\w\w+\b")
 
+class Numbers(dict):
+    """Numbers of terms in the order in which they are met."""
 
-def terms_of(docs: DataFrame, kind: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, term) for every word and pair (kind word), or every run of 2 to 5 characters inside padded words (kind char)."""
-    if kind == "word":
-        words = docs.select(F.col(id_col).alias("id"), word_grams(F.col(text_col)).alias("w"))
-        pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
-        # The outer form: the inner one makes the whole array a second time, for a filter of its size.
-        return words.select("id", F.explode_outer(F.concat("w", pairs)).alias("term")).where("term is not null")
-    words = docs.select(F.col(id_col).alias("id"), F.explode_outer(tx.tokens(F.lower(text_col))).alias("w")).where("w is not null").groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    grams = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(5), F.length("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda o: F.substring("w", o, n))))
-    return words.select("id", F.explode_outer(grams).alias("term"), "n")
+    def __missing__(self, term: str) -> int:
+        number = self[term] = len(self)
+        return number
 
 
-def counts(docs: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf) of each text, written."""
-    terms = terms_of(docs, kind, id_col, text_col)
-    return materialize(terms.groupBy("id", "term").agg((F.sum("n") if "n" in terms.columns else F.count("*")).alias("tf")), "tf")
+class TermCounter:
+    """Counts the terms of texts by number: words and their pairs, or runs of 2 to 5 characters inside padded words.
 
+    With a vocabulary (term: number) other terms count for nothing; without one, terms are numbered as they come.
+    """
 
-def vocabulary(tf: DataFrame, n_texts: int, kind: str, most: int | None = None) -> DataFrame:
-    """(term, idf): the commonest terms that stand in neither too few nor too many of the counted texts."""
+    def __init__(self, kind: str, known: dict[str, int] | None = None):
+        self.kind, self.fixed = kind, known is not None
+        self.numbers = known if self.fixed else Numbers()
+        self.of_token: dict[str, np.ndarray] = {}
+
+    def _look_up(self, terms: list[str]) -> np.ndarray:
+        if not self.fixed:
+            return np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))
+        found = np.fromiter((self.numbers.get(t, -1) for t in terms), np.int64, len(terms))
+        return found[found >= 0]
+
+    def _grams(self, token: str) -> np.ndarray:
+        if (known := self.of_token.get(token)) is None:
+            w = f" {token} "
+            known = self._look_up([w[o : o + n] for n in range(2, min(LONGEST_GRAM, len(w)) + 1) for o in range(len(w) - n + 1)])
+            if len(self.of_token) >= HELD_TOKENS:
+                self.of_token.clear()
+            self.of_token[token] = known
+        return known
+
+    def count(self, tokens: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, counts) of a text's terms, by number."""
+        if not tokens:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        if self.kind == "word":
+            return np.unique(self._look_up(tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]), return_counts=True)
+        times = Counter(tokens)
+        grams = [self._grams(t) for t in times]
+        numbers, place = np.unique(np.concatenate(grams), return_inverse=True)
+        return numbers, np.bincount(place, np.repeat(np.fromiter(times.values(), np.int64, len(times)), [len(g) for g in grams]), len(numbers)).astype(np.int64)
+
+
+def term_sums(docs: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
+    """(term, df, cf): in how many texts each term stands and how often, summed in each task before it is shuffled."""
+
+    def run(batches):
+        counter, df, cf = TermCounter(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def sums():
+            terms = list(counter.numbers)
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(df[: len(terms)]), pa.array(cf[: len(terms)])], names=["term", "df", "cf"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                for tokens in batch.column(0).slice(lo, ROWS).to_pylist():
+                    numbers, times = counter.count(tokens)
+                    if (more := len(counter.numbers) - len(df)) > 0:
+                        df, cf = (np.concatenate([x, np.zeros(more + len(x), np.int64)]) for x in (df, cf))
+                    df[numbers] += 1
+                    cf[numbers] += times
+                if len(counter.numbers) > HELD_TERMS:
+                    yield sums()
+                    counter, df, cf = TermCounter(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield sums()
+
+    got = spread(docs.select(text_col)).select(tokens_of(F.col(text_col), kind).alias("tokens")).mapInArrow(run, "term string, df long, cf long")
+    return got.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def vocabulary(docs: DataFrame, kind: str, text_col: str = "text", most: int | None = None) -> DataFrame:
+    """(term, idf, ix), written: the commonest terms that stand in neither too few nor too many of the texts, numbered by term."""
     limit, share = WORD if kind == "word" else CHAR
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= LEAST_TEXTS) & (F.col("df") <= share * n_texts))
-    return stats.orderBy(F.desc("cf"), "term").limit(most or limit).select("term", (F.log((1.0 + n_texts) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    n = docs.count()
+    stats = term_sums(docs, kind, text_col).where((F.col("df") >= LEAST_TEXTS) & (F.col("df") <= share * n))
+    chosen = stats.orderBy(F.desc("cf"), "term").limit(most or limit).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    return materialize(chosen.withColumn("ix", F.row_number().over(Window.orderBy("term")) - 1), f"vocabulary-{kind}")  # over the vocabulary's bounded rows
 
 
-def weighed(tf: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, term, weight, ...): the unit vector of each counted text over a vocabulary, whose other columns are carried.
+def weighed(rows: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
+    """rows with each column `<kind>_tok` replaced by the sparse unit vector of its text, `<kind>_ix` and `<kind>_w`, by row.
 
-    The vocabulary has a bounded number of terms and is broadcast; texts without any of them have no row.
+    The vocabularies have a bounded number of terms and are broadcast; texts without any of them, and null ones,
+    have empty vectors.
     """
-    more = [c for c in known.columns if c not in ("term", "idf")]
-    weighted = tf.join(F.broadcast(known), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"), *more)
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return materialize(weighted.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"), *more), "vectors")
+    tables = {}
+    for kind, table in vocabularies.items():
+        known = table.select("term", "ix", "idf").collect()
+        idf = np.zeros(max((r["ix"] for r in known), default=-1) + 1)
+        for r in known:
+            idf[r["ix"]] = r["idf"]
+        tables[kind] = ({r["term"]: r["ix"] for r in known}, idf)
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    others = [c for c in rows.columns if c not in {f"{kind}_tok" for kind in vocabularies}]
+
+    def run(batches):
+        counters = {kind: TermCounter(kind, known) for kind, (known, _) in shared.value.items()}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                out = {c: part.column(c) for c in others}
+                for kind, counter in counters.items():
+                    idf, found = shared.value[kind][1], []
+                    for tokens in part.column(f"{kind}_tok").to_pylist():
+                        ix, times = counter.count(tokens)
+                        raw = (1 + np.log(times)) * idf[ix]
+                        found.append((ix, raw / np.sqrt((raw * raw).sum()) if len(raw) else raw))
+                    offsets = pa.array(np.cumsum([0, *(len(ix) for ix, _ in found)]).astype(np.int32))
+                    out[f"{kind}_ix"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([ix for ix, _ in found]).astype(np.int32)))
+                    out[f"{kind}_w"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([w for _, w in found]).astype(np.float64)))
+                yield pa.RecordBatch.from_pydict(out)
+
+    fields = [rows.schema[c] for c in others]
+    for kind in vocabularies:
+        fields += [T.StructField(f"{kind}_ix", T.ArrayType(T.IntegerType())), T.StructField(f"{kind}_w", T.ArrayType(T.DoubleType()))]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def sparse_vectors(docs: DataFrame, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((id, ix, weight), vocabulary): the unit vector of each text over the commonest terms of all, in its own row."""
+    known = vocabulary(docs, kind, text_col)
+    rows = weighed(spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokens_of(F.col(text_col), kind).alias(f"{kind}_tok")), {kind: known})
+    return rows.select("id", F.col(f"{kind}_ix").alias("ix"), F.col(f"{kind}_w").alias("weight")), known
 
 
 def vectors(docs: DataFrame, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, weight): the unit vector of each text over the commonest terms of all; texts without any have no row."""
-    tf = counts(docs, kind, id_col, text_col)
-    return weighed(tf, vocabulary(tf, docs.count(), kind))
+    """(id, term, weight): the same, an entry a row, for joins by term; texts without any have no row. The rows of texts are written, not their entries."""
+    rows, known = sparse_vectors(docs, kind, id_col, text_col)
+    entries = materialize(rows, "vectors").select("id", F.explode_outer(F.arrays_zip("ix", "weight")).alias("e")).where("e is not null")
+    return entries.select("id", F.col("e.ix").alias("ix"), F.col("e.weight").alias("weight")).join(F.broadcast(known.select("ix", "term")), "ix").select("id", "term", "weight")

@@ -17,8 +17,8 @@ from inkwell.storage import materialize
 
 #: Draws an author, books and texts of a drawn profile, and the strength of the regression's penalty (1 / it).
 DRAWS, LEAST_BOOKS, MOST_BOOKS, DRAWN_TEXTS, STRENGTH = 60, 2, 6, 20, 0.5
-#: Texts asked about of each author when a verifier is judged.
-ASKED_TEXTS = 40
+#: Texts asked about of each author, and texts of each profile, when a verifier is judged. Profiles are of all texts elsewhere.
+ASKED_TEXTS, JUDGED_TEXTS = 40, 40
 #: Thresholds where none were learned.
 DEFAULT_MATCH, DEFAULT_MISMATCH = 0.70, 0.35
 
@@ -151,9 +151,9 @@ def train(texts: DataFrame, open_set: str | None = None, draws: int = DRAWS) ->
     encoder = en.StyleEncoder.fit(learned, "id")
     encoded = encoder.encode(known.where("split <> 'test'"), "id")
     pairs, members = drawn_pairs(learned, draws)
-    verifier = Verifier.fit(en.similarity(pairs, encoded, en.profiles(encoded, members, DRAWN_TEXTS), encoder))
+    verifier = Verifier.fit(en.similarity(pairs, encoded, en.few_profiles(encoded, members, DRAWN_TEXTS), encoder))
     asked, members = validation_pairs(learned, held)
-    scored = verifier.score(en.similarity(asked, encoded, en.profiles(encoded, members), encoder))
+    scored = verifier.score(en.similarity(asked, encoded, en.few_profiles(encoded, members, JUDGED_TEXTS), encoder))
     scores = materialize(scored.select("id", "profile", (F.col("label") == 1).alias("positive"), "score"), "validation-scores")
     return encoder, verifier.judged(scores), scores
 
@@ -192,13 +192,6 @@ def verdicts(texts: DataFrame, registered: DataFrame, pairs: DataFrame, encoder:
     )
 
 
-def registered(texts: DataFrame, most: int = en.PROFILE_TEXTS) -> DataFrame:
-    """The texts (author, id, text) that make up each author's profile: at most `most`, those of the least hashes."""
-    rank = F.row_number().over(Window.partitionBy("author").orderBy(_hash("id")))
-    first = texts.select("author", "id").withColumn("r", rank).where(F.col("r") <= most).drop("r")
-    return first.join(texts.select("id", "text"), "id").select("author", "id", "text")
-
-
 #: Registered texts of a profile that a text is held against for copies, those of the smallest ids, and the words of a shingle.
 COMPARED, COPY_WORDS, COPY_STRIDE = 50, 50, 25
 
@@ -218,3 +211,25 @@ def nearest(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame
     theirs = first.join(grams.select(F.col("id").alias("other"), F.col("n").alias("m"), "gram"), "other")
     shared = mine.join(theirs, ["profile", "gram"]).groupBy("id", "profile", "other").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
     return shared.groupBy("id", "profile").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("near_duplicate"))
+
+
+#: Profiles that a text is held against at a time, and impostors of a profile.
+BLOCK, IMPOSTORS = 1000, 8
+
+
+def with_every(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, profile): each text asked about (id) with every name of a profile (author), in blocks of BLOCK names."""
+    placed = ln.numbered(names.select("author").distinct(), "author", "at").withColumn("block", F.floor(F.col("at") / BLOCK))
+    blocks = materialize(placed.groupBy("block").agg(F.collect_list("author").alias("names")), "blocks")
+    n = blocks.count()
+    each = asked.select("id", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))).cast("array<bigint>")).alias("block"))
+    return each.join(blocks, "block").select("id", F.explode("names").alias("profile"))
+
+
+def impostor_pool(names: DataFrame, most: int = IMPOSTORS) -> DataFrame:
+    """(profile, impostor): for each name (author) the first `most` other names."""
+    names = names.select("author").distinct().where("author is not null")
+    # The first most + 1 names hold the first others of everyone.
+    first = [r[0] for r in names.orderBy("author").limit(most + 1).collect()]
+    others = F.slice(F.array_remove(F.array(*map(F.lit, first)).cast("array<string>"), F.col("author")), 1, most)
+    return names.select(F.col("author").alias("profile"), F.explode(others).alias("impostor"))

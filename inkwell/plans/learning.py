@@ -174,15 +174,8 @@ def full_verdicts(spark, sf_dir):
     texts = _languages(spark, sf_dir)
     encoder, verifier, _ = vf.train(texts.drop("work"), draws=VERIFIER_DRAWS)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    names = [r[0] for r in texts.select("author").distinct().orderBy("author").limit(MOST_PROFILES).collect()]
-    pairs = asked.select("id", F.explode(F.array(*map(F.lit, names))).alias("profile"))
-    pool = spark.createDataFrame([(a, b) for a in names for b in names if a != b], "profile string, impostor string")
-    registered = vf.registered(texts)
-    return vf.verdicts(asked, registered, pairs, encoder, verifier, pool).withColumnRenamed("id", "item_id")
-
-
-#: Profiles that a text is held against at once.
-MOST_PROFILES = 8
+    names = texts.select("author").distinct()
+    return vf.verdicts(asked, texts.select("author", "id", "text"), vf.with_every(asked, names), encoder, verifier, vf.impostor_pool(names)).withColumnRenamed("id", "item_id")
 
 
 @query("verifier_scores")

@@ -47,3 +47,12 @@ def drop(df: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to more tasks where its source has fewer pieces than a few for each core, as small tables of one row group do.
+
+    Larger sources are left as they are, so nothing is shuffled where it would count.
+    """
+    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

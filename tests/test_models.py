@@ -161,6 +161,36 @@ def test_encoder_knows_only_what_it_was_fitted_on(spark, library, tmp_path):
         assert abs(r.fw_cos - (float(z @ p / math.sqrt((z @ z) * (p @ p))) + 1) / 2) < 1e-9
 
 
+def test_profiles_of_any_size_equal_the_listed_ones(spark, library):
+    """Partial sums and bounded windows give what a list of all texts gives, copies and texts without terms included."""
+    more = spark.createDataFrame([("ann", "b9", 900, " THE sea  and the tide. "), ("ann", "b9", 901, "the sea and the tide."), ("bob", "b9", 902, "")], library.schema)
+    texts = library.unionByName(more)
+    enc = encoder.StyleEncoder.fit(library, "id")
+    encoded = enc.encode(texts, "id")
+    members = texts.select(F.col("author").alias("profile"), "id")
+    whole = {r.profile: r.asDict() for r in encoder.profiles(encoded, members).collect()}
+    listed = {r.profile: r.asDict() for r in encoder.few_profiles(encoded, members, 1000).collect()}
+    assert set(whole) == set(listed) == set(VOICES) and whole["ann"]["n_texts"] == 19 and whole["ann"]["n_given"] == 20
+    for name, row in listed.items():
+        for field, value in row.items():
+            if field != "profile":
+                assert np.allclose(whole[name][field], value, rtol=1e-9, atol=1e-9), (name, field)
+
+
+def test_a_text_registered_long_ago_and_profiles_of_many_names(spark):
+    """The 60th text of an author is known as such when it is handed in again, and each of ten authors is asked about."""
+    rng = random.Random(4)
+    rows = [(f"a{k}", 1000 * k + c, written(rng.choice(list(VOICES)), rng, 90)) for k in range(10) for c in range(60 if k == 0 else 3)]
+    texts = spark.createDataFrame(rows, "author string, id long, text string")
+    enc = encoder.StyleEncoder.fit(texts, "id")
+    asked = spark.createDataFrame([(k, rows[k][2].upper()) for k in (0, 41, 59)], "id long, text string")
+    names = texts.select("author").distinct()
+    pairs, pool = verifier.with_every(asked, names), verifier.impostor_pool(names)
+    assert pairs.distinct().count() == 30 and {r["count"] for r in pool.groupBy("profile").count().collect()} == {8} and pool.where("profile = impostor").count() == 0
+    got = {(int(r.id), r.profile): r for r in verifier.verdicts(asked, texts, pairs, enc, verifier.Verifier(), pool).collect()}
+    assert len(got) == 30 and {k for k, r in got.items() if r.error == "leakage"} == {(0, "a0"), (41, "a0"), (59, "a0")} and got[0, "a0"].n_texts == 60
+
+
 def test_drawn_pairs_never_ask_about_their_profile(spark, library):
     pairs, members = verifier.drawn_pairs(library.drop("text"), draws=8)
     rows, inside = pairs.collect(), {}
