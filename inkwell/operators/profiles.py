@@ -28,10 +28,9 @@ def views(docs: DataFrame, id_col: str = "doc_id", author_col: str = "source", t
     """(id, author, kind, feature, value): surface measures (stylo), function-word shares (fw) and marks per thousand characters (pu)."""
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.col(author_col).alias("author")).alias("key"), F.col(text_col).alias("text"))
     stylo = stylometry.stylometry(keyed, "key")
-    wide = keyed.select("key", "text", tx.matches(F.lower("text"), "[a-z']+").alias("tok")).withColumn("known", F.filter("tok", lambda t: t.isin(*lx.FUNCTION_WORDS)))
-    n_tok, n_chars = F.greatest(F.size("tok"), F.lit(1)), F.greatest(F.length("text"), F.lit(1))
-    words = F.array(*map(F.lit, lx.FUNCTION_WORDS))
-    fw = wide.select("key", F.lit("fw").alias("kind"), F.posexplode_outer(F.transform(words, lambda w: F.size(F.filter("known", lambda t: t == w)) / n_tok)).alias("feature", "value"))
+    wide = keyed.select("key", "text", tx.matches(F.lower("text"), "[a-z']+").alias("tok"))
+    n_chars = F.greatest(F.length("text"), F.lit(1))
+    fw = stylometry.word_shares(wide.select("key", "tok")).select("key", F.lit("fw").alias("kind"), F.posexplode_outer("fw").alias("feature", "value"))
     pu = wide.select("key", F.lit("pu").alias("kind"), F.posexplode_outer(F.array(*(tx.occurrences(F.col("text"), p) / n_chars * 1000.0 for p in lx.PUNCTUATION))).alias("feature", "value"))
     own = stylo.select("key", F.lit("stylo").alias("kind"), F.posexplode_outer(F.array(*(F.col(c) for c in stylo.columns[1:]))).alias("feature", "value"))
     return own.unionByName(fw).unionByName(pu).select("key.id", "key.author", "kind", "feature", "value")

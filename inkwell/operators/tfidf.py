@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions import text as tx
-from inkwell.storage import materialize, spread
+from inkwell.storage import materialize
 
 #: (terms at most, share of texts that a term may stand in); terms of one text only are left out.
 WORD, CHAR = (15_000, 0.90), (20_000, 0.95)
@@ -95,7 +95,7 @@ def term_sums(docs: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
                     counter, df, cf = TermCounter(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield sums()
 
-    got = spread(docs.select(text_col)).select(tokens_of(F.col(text_col), kind).alias("tokens")).mapInArrow(run, "term string, df long, cf long")
+    got = docs.select(tokens_of(F.col(text_col), kind).alias("tokens")).mapInArrow(run, "term string, df long, cf long")
     return got.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
@@ -150,7 +150,7 @@ def weighed(rows: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
 def sparse_vectors(docs: DataFrame, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((id, ix, weight), vocabulary): the unit vector of each text over the commonest terms of all, in its own row."""
     known = vocabulary(docs, kind, text_col)
-    rows = weighed(spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokens_of(F.col(text_col), kind).alias(f"{kind}_tok")), {kind: known})
+    rows = weighed(docs.select(F.col(id_col).alias("id"), tokens_of(F.col(text_col), kind).alias(f"{kind}_tok")), {kind: known})
     return rows.select("id", F.col(f"{kind}_ix").alias("ix"), F.col(f"{kind}_w").alias("weight")), known
 
 

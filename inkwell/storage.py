@@ -44,15 +44,20 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes from which a source is worth dealing out.
+LEAST_SPREAD = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to more tasks where its source has fewer pieces than a few for each core, as small tables of one row group do.
+    """df dealt to more tasks where its source has fewer pieces than there are cores, as a file of one row group has.
 
-    Larger sources are left as they are, so nothing is shuffled where it would count.
+    Larger sources are left as they are, so nothing is shuffled where it would count, and so are tiny ones.
     """
-    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(4 * cores) if size >= LEAST_SPREAD and df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
