@@ -11,13 +11,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators import novelty as nv
 from inkwell.operators.rings import following
 from inkwell.storage import materialize
 
 SEED, FOLDS, DRAWS, PROFILE_TEXTS = "42", 7, 12, 20
 TRAIN, VALIDATION = 0.6, 0.2
-#: Isolation trees, and rows that each is grown from.
-TREES, TREE_ROWS = 100, 256
 
 
 def keyed_hash(*parts) -> Column:
@@ -30,6 +29,44 @@ def fold(group: Column, k: int = FOLDS) -> Column:
     return (F.conv(F.substring(F.md5(group.cast("binary")), 1, 8), 16, 10).cast("long") % k).cast("long")
 
 
+#: Groups that are dealt to folds by one task.
+DEALT_GROUPS = 4096
+
+
+def stratified_folds(rows: DataFrame, group: str, label: str, k: int) -> DataFrame:
+    """(group, fold): groups dealt to k folds so that each fold has about the same share of every class; no group straddles.
+
+    Groups are dealt one by one, those of the most uneven classes first, each to the fold where the shares of the
+    classes then vary least, of equal ones to that of the fewest rows. What is dealt are counts of rows by group and
+    class, in blocks of groups drawn by hash, so no task sees all groups; ties go by hashes. Where every class has
+    fewer rows than there are folds, shares mean nothing and groups go by their hash alone. Rows without group or
+    label are left out.
+    """
+    counts = rows.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(group).alias("g"), F.col(label).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    counts = materialize(counts, "group-counts")
+    largest = counts.groupBy("c").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest < k:
+        return counts.select(F.col("g").alias(group)).distinct().withColumn("fold", fold(F.col(group).cast("string"), k).cast("int"))
+    blocks = -(-counts.select("g").distinct().count() // DEALT_GROUPS)
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot(index="g", columns="c", values="n").fillna(0.0)
+        x, names = table.to_numpy(float), table.index.to_numpy()
+        order = pdf.drop_duplicates("g").set_index("g")["h"].loc[names].to_numpy()
+        total, held = x.sum(axis=0), np.zeros((k, x.shape[1]))
+        at = np.zeros(len(x), np.int32)
+        for i in np.lexsort((order, -x.std(axis=1))):
+            tried = np.repeat((held / total)[None], k, axis=0)
+            tried[np.arange(k), np.arange(k)] += x[i] / total
+            spread = np.round(tried.std(axis=1).mean(axis=1), 12)
+            at[i] = np.lexsort((np.arange(k), held.sum(axis=1), spread))[0]
+            held[at[i]] += x[i]
+        return pd.DataFrame({group: names, "fold": at})
+
+    marked = counts.withColumns({"h": F.xxhash64("g"), "block": F.pmod(F.xxhash64(F.lit("block"), "g"), F.lit(max(blocks, 1)))})
+    return materialize(marked.groupBy("block").applyInPandas(deal, f"`{group}` {dict(rows.dtypes)[group]}, fold int"), "folds")
+
+
 def book_split(books: DataFrame, author: str = "author", book: str = "book") -> DataFrame:
     """(author, book, split): about 60/20/20 of each author's books in hash order, two for training and one for each other at least where they suffice."""
     w = Window.partitionBy(author)
@@ -93,73 +130,19 @@ def index_labels(rows: DataFrame, column: str, out: str) -> DataFrame:
     return rows.join(places, column).select(*rows.columns, F.col(out).cast("double").alias(out))
 
 
-def grow_trees(rows: DataFrame, features: list[str], trees: int = TREES, size: int = TREE_ROWS) -> list:
-    """Isolation trees, one task each: a tree is grown from a hash sample of about `size` rows of the whole table.
-
-    A tree is arrays of (feature, split, left, right, path length); what comes back is bounded by trees and size.
-    """
-    n = max(rows.count(), 1)
-    # The trees that a row is drawn for are chosen before it is repeated for them; 2^53 steps suit any number of rows.
-    bar = int(min(1.0, size / n) * (1 << 53))
-    own = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.pmod(F.xxhash64(t, F.col("id")), F.lit(1 << 53)) < bar)
-    picked = rows.select("id", F.array(*(F.col(f).cast("double") for f in features)).alias("x"), own.alias("trees")).select("id", "x", F.explode("trees").alias("tree"))
-
-    def average(m: float) -> float:
-        return 0.0 if m <= 1 else 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m if m > 2 else 1.0
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, rng = np.array(pdf["x"].tolist(), dtype=float), np.random.default_rng(int(pdf["tree"].iloc[0]))
-        x = x[np.lexsort(x.T)]  # the order of rows doesn't matter
-        feature, split, left, right, depth_at = [], [], [], [], []
-        most = int(np.ceil(np.log2(max(len(x), 2))))
-
-        def node(at: np.ndarray, depth: int) -> int:
-            me = len(feature)
-            for col in (feature, split, left, right, depth_at):
-                col.append(0)
-            lo, hi = x[at].min(axis=0), x[at].max(axis=0)
-            able = np.flatnonzero(hi > lo)
-            if depth >= most or len(at) <= 1 or not len(able):
-                feature[me], depth_at[me] = -1, depth + average(len(at))
-                return me
-            f = int(rng.choice(able))
-            cut = float(rng.uniform(lo[f], hi[f]))
-            feature[me], split[me] = f, cut
-            left[me], right[me] = node(at[x[at, f] < cut], depth + 1), node(at[x[at, f] >= cut], depth + 1)
-            return me
-
-        node(np.arange(len(x)), 0)
-        return pd.DataFrame({"feature": [feature], "split": [split], "left": [left], "right": [right], "path": [[float(d) for d in depth_at]], "n": [len(x)]})
-
-    return picked.groupBy("tree").applyInPandas(grow, "feature array<int>, split array<double>, left array<int>, right array<int>, path array<double>, n int").collect()
+def grow_trees(rows: DataFrame, features: list[str], trees: int = nv.TREES, size: int = nv.TREE_ROWS) -> list:
+    """Isolation trees over columns, one task each, from a hash sample of about `size` rows of the whole table."""
+    points = rows.select("id", F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.array(F.lit(0)).alias("forests"))
+    return nv.forests(points, trees, size).collect()
 
 
 def novelty(rows: DataFrame, features: list[str], trees: list) -> DataFrame:
     """(id, raw): minus the isolation score of each row, so that ordinary rows have more."""
-    grown = [tuple(np.array(t[c]) for c in ("feature", "split", "left", "right", "path")) for t in trees]
-    size = float(np.mean([t["n"] for t in trees])) if trees else 2.0
-    usual = max(2 * (np.log(max(size - 1, 1)) + 0.5772156649) - 2 * (size - 1) / size, 1e-6)
-    shared = rows.sparkSession.sparkContext.broadcast(grown)
-
-    def score(batches):
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
-            total = np.zeros(len(pdf))
-            for feature, split, left, right, path in shared.value:
-                at = np.zeros(len(pdf), int)
-                while (inner := feature[at] >= 0).any():
-                    k = np.flatnonzero(inner)
-                    less = x[k, feature[at[k]]] < split[at[k]]
-                    at[k] = np.where(less, left[at[k]], right[at[k]])
-                total += path[at]
-            yield pd.DataFrame({"id": pdf["id"], "raw": -(2.0 ** (-total / max(len(shared.value), 1) / usual))})
-
-    return rows.select("id", F.array(*(F.col(f).cast("double") for f in features)).alias("x")).mapInPandas(score, "id long, raw double")
-
-
-def novelty_percent(raw: Column, p01: Column, p50: Column) -> Column:
-    """Raw scores between the first percentile (0) and the median (70), clipped to 0 to 100."""
-    return F.least(F.greatest(70.0 * (raw - p01) / F.greatest(p50 - p01, F.lit(1e-6)), F.lit(0.0)), F.lit(100.0))
+    points = rows.select("id", F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.lit(0).alias("forest"))
+    return nv.raw_scores(points, trees).select("id", "raw")
+
+
+novelty_percent = nv.percent
 
 
 def scaled_novelty(scores: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from inkwell.functions import text as tx
 from inkwell.operators import attribution as at
 from inkwell.operators import books as bk
 from inkwell.operators import chunking as ck
+from inkwell.operators import encoder as en
 from inkwell.operators import learning as ln
 from inkwell.operators import machine_text as mt
+from inkwell.operators import novelty as nv
 from inkwell.operators import stylometry as st
 from inkwell.operators import verifier as vf
 from inkwell.plans import snippets as sq
@@ -92,12 +94,6 @@ def reference_split(spark, sf_dir):
     return texts.groupBy("author").agg(F.count("*").alias("n")).join(profile, "author").select("author", "n_profile", (F.col("n") - F.col("n_profile")).alias("n_unseen"))
 
 
-def _style(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    measures = st.stylometry(texts.select(F.struct("doc_id", "author", "book").alias("key"), "text"), "key")
-    return materialize(measures.select("key.*", *measures.columns[1:]), "style"), measures.columns[1:]
-
-
 def _languages(spark, sf_dir):
     """Texts whose author is their language and whose book is their source: sources have no style of their own in these tables."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("author"), F.col("source").alias("book"), F.col("source").alias("work"), "text")
@@ -130,9 +126,20 @@ def attribution_predictions(spark, sf_dir):
     return got.select("doc_id", "author", F.col("label").cast("int").alias("label"), "predicted", F.array_max("p").alias("p"))
 
 
-def _attribution(spark, sf_dir):
-    texts = _languages(spark, sf_dir).withColumn("held", ln.fold(F.col("work"), 4) == 0)
-    return at.Attribution.fit(texts.where("not held").drop("held")), texts.where("held")
+#: Folds of books of which one is held out: 15 % of the rows.
+HOLDOUT = 7
+
+
+@query("stratified_folds")
+def stratified_folds(spark, sf_dir):
+    """The fold of each book (source), so that every fold has its share of each author (language)."""
+    return ln.stratified_folds(_languages(spark, sf_dir), "work", "author", HOLDOUT)
+
+
+def _attribution(spark, sf_dir, novelty=False):
+    texts = _languages(spark, sf_dir)
+    texts = materialize(texts.join(ln.stratified_folds(texts, "work", "author", HOLDOUT), "work"), "attribution-texts")
+    return at.Attribution.fit(texts.where("fold <> 0").drop("fold"), novelty=novelty), texts.where("fold = 0").drop("fold")
 
 
 @query("attribution_stack")
@@ -164,7 +171,7 @@ def attribution_by_scale(spark, sf_dir):
 @query("predicted_authors")
 def predicted_authors(spark, sf_dir):
     """The ranked authors (languages) of each text of `benchmark`, by the geometric mean over its chunks."""
-    model, _ = _attribution(spark, sf_dir)
+    model, _ = _attribution(spark, sf_dir, novelty=True)
     return model.predict(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), SIZE).withColumnRenamed("id", "item_id")
 
 
@@ -216,11 +223,13 @@ def ai_classifier_scores(spark, sf_dir):
 
 @query("novelty_pct")
 def novelty_pct(spark, sf_dir):
-    """How ordinary each document's surface measures are among all: isolation trees, scaled by two percentiles."""
-    rows, names = _style(spark, sf_dir)
-    rows = rows.withColumnRenamed("doc_id", "id")
-    trees = ln.grow_trees(rows, names)
-    return ln.scaled_novelty(ln.novelty(rows, names, trees)).withColumnRenamed("id", "doc_id")
+    """How ordinary each document is among all, by a forest that saw none of its book: vectors of terms and measures, reduced, and scaled by two percentiles."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("::", "source", "lang").alias("group"), "text")
+    encoder = en.StyleEncoder.fit(texts, "doc_id", sizes=at.TERMS)
+    sizes = {kind: encoder.vocabularies[kind].count() for kind in en.KINDS}
+    rows = at.union(encoder.encode(texts, "doc_id"), encoder, sizes).join(texts.select(F.col("doc_id").alias("id"), "group"), "id")
+    detector, scores = nv.Detector.fit(rows, at.width(sizes))
+    return scores.select(F.col("id").alias("doc_id"), "raw", nv.percent(F.col("raw"), F.lit(detector.p01), F.lit(detector.p50)).alias("pct"))
 
 
 @query("novelty_scaling", f"SELECT doc_id, {sq.rounded('least(greatest(70.0::DOUBLE * (v - a) / greatest(b - a, 1e-6), 0.0::DOUBLE), 100.0::DOUBLE)')} AS pct FROM (SELECT doc_id, ln(1 + n_chars) AS v FROM documents), (SELECT quantile_cont(ln(1 + n_chars)::DOUBLE, 0.01) AS a, quantile_cont(ln(1 + n_chars)::DOUBLE, 0.5) AS b FROM documents)")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
-from inkwell.operators import attribution, books, chunking, encoder, learning, machine_text, metrics, overlap, verifier
+from inkwell.operators import attribution, books, chunking, encoder, learning, linear, machine_text, metrics, novelty, overlap, verifier
 from inkwell.plans import learning as plans
 from inkwell.sources import corpus, sinks
 
@@ -237,12 +237,112 @@ def test_attribution_of_held_out_books(spark, library, tmp_path):
     model = attribution.Attribution.fit(rows.where("book <> 'b5'").select("id", "author", "work", "text"))
     attribution.save(model, str(tmp_path / "a"))
     back = attribution.load(spark, str(tmp_path / "a"))
-    assert back.authors == ["ann", "bob", "cyd"] and attribution.load(spark, str(tmp_path / "none")) is None
+    assert back.authors == ["ann", "bob", "cyd"] and attribution.load(spark, str(tmp_path / "none")) is None and back.folds == 3
     asked = library.where("book = 'b5'")
     best = {r.id: r for r in back.predict(asked.select("id", "text"), chunking.Sizes(100, 90, 110, 130, 40)).where("rank = 1").collect()}
     assert {i: r.author for i, r in best.items()} == {r.id: r.author for r in asked.collect()}
-    every = back.predict(asked.select("id", "text")).groupBy("id").agg(F.sum("p").alias("p"), F.count("*").alias("n")).collect()
-    assert all(abs(r.p - 1) < 1e-9 and r.n == 3 for r in every)
+    first = asked.where("id = 50").first().text
+    words = " ".join(w[::-1] + "zq" for w in first.split())
+    strange = spark.createDataFrame([(1, words), (2, "Produced by A. Typist\n\n" + first), (3, " \n")], "id long, text string")
+    every = {}
+    for r in back.predict(strange).collect():
+        every.setdefault(r.id, []).append(r)
+    assert set(every) == {1, 2} and all(len(x) == 3 and abs(sum(r.p for r in x) - 1) < 1e-9 for x in every.values())
+    assert every[2][0].n_chunks == 1 and next(r.author for r in every[2] if r.rank == 1) == "ann"
+    assert all(0 <= r.novelty_pct <= 100 for x in every.values() for r in x)
+    assert model.outside.out_of_fold and (back.outside.p01, back.outside.p50) == (model.outside.p01, model.outside.p50)
+    same = {r.id: r.p for r in model.scores(asked.select("id", "text")).collect()}
+    assert all(np.allclose(r.p, same[r.id], atol=1e-9) for r in back.scores(asked.select("id", "text")).collect())
+
+
+def test_gradient_and_calibration(spark):
+    """The gradient of the modified Huber loss against differences, its fit against plain steps, and Platt's scaling against a plain one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    label = np.arange(120) % 3
+    dense = rng.standard_normal((120, 6)) * (rng.random((120, 6)) < 0.6) + 1.5 * np.eye(6)[label]
+    rows = [([int(j) for j in np.flatnonzero(x)], [float(v) for v in x[x != 0]], float(y), float(1 + y / 2)) for x, y in zip(dense, label)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], names=["ix", "w", "label", "weight"])
+    weights, bias = rng.standard_normal((6, 3)), rng.standard_normal(3)
+    _, slope = linear.huber_gradient(batch, weights, bias)
+    for i, k in ((0, 0), (3, 1), (5, 2), (6, 1)):
+        up, down = (np.vstack([weights, bias]) for _ in range(2))
+        up[i, k] += 1e-6
+        down[i, k] -= 1e-6
+        numeric = (linear.huber_gradient(batch, up[:-1], up[-1])[0] - linear.huber_gradient(batch, down[:-1], down[-1])[0]) / 2e-6
+        assert abs(numeric - slope[i, k]) < 1e-4 * max(1, abs(numeric))
+    df = spark.createDataFrame(rows, "ix array<int>, w array<double>, label double, weight double").repartition(3).cache()
+    weights, bias = linear.fit_huber(df, 6, 3, alpha=1e-2, steps=100)
+    total = sum(r[3] for r in rows)
+    loss, slope = linear.huber_gradient(batch, weights, bias)
+    slope /= total
+    slope[:-1] += 1e-2 * weights
+    assert np.abs(slope).max() < 5e-3 and (linear.margins_of(batch, weights, bias).argmax(axis=1) == label).mean() > 0.85
+    m = linear.margins_of(batch, weights, bias)
+    platt = linear.fit_platt(spark.createDataFrame([(float(y), x.tolist()) for y, x in zip(label, m)], "label double, m array<double>"))
+    for k, (a, b) in platt.items():
+        y = label == k
+        t = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
+        p = 1 / (1 + np.exp(-(a * m[:, k] + b)))
+        assert abs((p - t).sum()) < 1e-2 and abs(((p - t) * m[:, k]).sum()) < 1e-2  # where both derivatives vanish
+    got = spark.createDataFrame([(m[0].tolist(),)], "m array<double>").select(linear.calibrated(F.col("m"), platt)).first()[0]
+    assert abs(sum(got) - 1) < 1e-12 and np.argmax(got) == np.argmax(m[0])
+
+
+def test_directions_of_sparse_rows_and_what_lies_outside(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    low = rng.standard_normal((300, 5)) @ rng.standard_normal((5, 40)) * (rng.random((300, 40)) < 0.7)
+    rows = [(k, f"g{k % 12}", [int(j) for j in np.flatnonzero(x)], [float(v) for v in x[x != 0]]) for k, x in enumerate(low)]
+    df = spark.createDataFrame(rows, "id long, group string, ix array<int>, w array<double>").repartition(3)
+    found = novelty.basis(df, 40, 300, 8)
+    exact = np.linalg.svd(low)[2][:8].T
+    assert np.allclose(found.T @ found, np.eye(8), atol=1e-4)
+    assert np.linalg.norm(low @ found) >= 0.98 * np.linalg.norm(low @ exact)
+    detector, scores = novelty.Detector.fit(df, 40, 8, 60, 64)
+    assert detector.out_of_fold and scores.count() == 300 and len(detector.trees) == 60
+    raw = np.array([r.raw for r in scores.collect()])
+    assert abs(detector.p50 - np.percentile(raw, 50)) < 1e-5 and abs(detector.p01 - np.percentile(raw, 1)) < 1e-5
+    detector.save(spark, str(tmp_path / "n"))
+    kept = novelty.Detector.load(spark, str(tmp_path / "n"))
+    asked = spark.createDataFrame([(1, [0, 1, 2, 3], [25.0, -25.0, 30.0, 25.0]), (2, rows[0][2], rows[0][3])], "id long, ix array<int>, w array<double>")
+    got, same = ({r.id: r.pct for r in d.score(asked).collect()} for d in (detector, kept))
+    assert got == same and got[1] < 5 < 20 < got[2]
+    few, scores = novelty.Detector.fit(df.limit(12), 40, 8, 10, 64)
+    one, _ = novelty.Detector.fit(df.withColumn("group", F.lit("g")), 40, 8, 10, 64)
+    assert not few.out_of_fold and scores.count() == 12 and not one.out_of_fold
+
+
+def test_a_strange_language_lies_outside(spark):
+    """Texts of a language kept out get less than the median of what the detector knows, in every fold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.col("source").alias("group"), "lang", "text").where("n_chars between 600 and 8000")
+    known, strange = docs.where("lang <> 'es'"), docs.where("lang = 'es'")
+    enc = encoder.StyleEncoder.fit(known, "doc_id", sizes={"char": 4000, "word": 2000})
+    sizes = {kind: enc.vocabularies[kind].count() for kind in encoder.KINDS}
+    x = attribution.union(enc.encode(known, "doc_id"), enc, sizes).join(known.select(F.col("doc_id").alias("id"), "group"), "id")
+    detector, scores = novelty.Detector.fit(x, attribution.width(sizes), 50, 100)
+    folds = {}
+    for r in scores.join(known.select(F.col("doc_id").alias("id"), "group"), "id").withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(5))).collect():
+        folds.setdefault(r.fold, []).append(r.raw)
+    got = [r.raw for r in detector.score(attribution.union(enc.encode(strange, "doc_id"), enc, sizes)).collect()]
+    assert len(got) > 50 and np.median(got) < min(np.median(v) for v in folds.values())
+
+
+@pytest.mark.parametrize("blocks", [4096, 10])
+def test_stratified_folds(spark, monkeypatch, blocks):
+    """No group straddles, every fold has its share of each class, the same whatever the partitions; plain hashes where classes are too few."""
+    monkeypatch.setattr(learning, "DEALT_GROUPS", blocks)
+    rng = random.Random(8)
+    rows = [(f"g{g}", "abc"[(g % 7) % 3], k) for g in range(60) for k in range(rng.randint(5, 40))] + [(None, "a", 0), ("g1", None, 0)]
+    df = spark.createDataFrame(rows, "work string, author string, k int")
+    got = {r.work: r.fold for r in learning.stratified_folds(df.repartition(5), "work", "author", 5).collect()}
+    assert got == {r.work: r.fold for r in learning.stratified_folds(df, "work", "author", 5).collect()} and set(got) == {f"g{g}" for g in range(60)}
+    share = Counter((a, got[g]) for g, a, _ in rows if g and a)
+    for a in "abc":
+        total = sum(n for (c, _), n in share.items() if c == a)
+        assert all(abs(share[a, f] / total - 0.2) < (0.06 if blocks == 4096 else 0.12) for f in range(5))
+    few = learning.stratified_folds(spark.createDataFrame([("x", "a"), ("y", "b")], "work string, author string"), "work", "author", 5)
+    assert {r.work for r in few.collect()} == {"x", "y"}
 
 
 def test_exact_curve_against_all_thresholds(spark):
