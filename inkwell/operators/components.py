@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,24 @@ def local_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Edges up to which one task finds the components.
+FEW_EDGES = 5_000
+
+
+def _solve(batches):
+    """Arrow function: all of a few edges (u, v) to (node, component)."""
+    edges = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    u, v = (np.concatenate([e[k] for e in edges] + [np.empty(0, np.int64)]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = local_forest(len(nodes), at[: len(u)], at[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (src, dst: long); component is the smallest node reachable.
 
-    Each round writes its edges to the shared folder and lasts two aggregations by node and two joins of
+    FEW_EDGES or fewer are solved by one task. Of more,
+    each round writes its edges to the shared folder and lasts two aggregations by node and two joins of
     edges with their node's smallest neighbour. Partial sums keep a node with very many neighbours from
     reaching one task in the former; in the latter such a node is dealt to parts by its count of neighbours,
     as every centre of a large component is from the first round on. Null ends and loops are ignored; an
@@ -38,6 +53,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, before = materialize(now, "edges"), None
     n_edges = now.count()
+    if n_edges <= FEW_EDGES:
+        return now.coalesce(1).mapInArrow(_solve, "node long, component long")
     for _ in range(MAX_ROUNDS):
         made = []
 

@@ -28,7 +28,12 @@ def components(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def test_components_of_paths_stars_and_nothing(spark):
+@pytest.mark.parametrize("few", [0, 5_000])
+def test_components_of_paths_stars_and_nothing(spark, monkeypatch, few):
+    """By one task, and by rounds."""
+    from inkwell.operators import components as cc
+
+    monkeypatch.setattr(cc, "FEW_EDGES", few)
     random.seed(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(random.randrange(200, 260), random.randrange(200, 260)) for _ in range(40)] + [(300, 300)]
     df = spark.createDataFrame(edges + [(None, 5)], "src long, dst long")
@@ -44,6 +49,7 @@ def test_components_deal_hot_nodes(spark, monkeypatch):
 
     for module in (cc, skew):
         monkeypatch.setattr(module, "HOT_LEAST", 5)
+    monkeypatch.setattr(cc, "FEW_EDGES", 0)
     random.seed(2)
     edges = [(500, k) for k in range(300)] + [(500, 600 + k) for k in range(300)] + [(1000 + k, 1001 + k) for k in range(20)] + [(random.randrange(2000, 2050), random.randrange(2000, 2050)) for _ in range(30)]
     got = {r.node: r.component for r in cc.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
