@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -231,10 +232,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 class Model:
-    """The lexicon, the weight of each (term, edits), and the coefficients that turn a text's hits into a score."""
+    """The lexicon, the weight of each (term, edits), and the coefficients that turn a text's hits into a score.
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int], float], coefficients: list[float]):
-        self.terms, self.weights, self.coefficients = terms, weights, coefficients
+    qualified is how many terms and beginnings of words were sure enough for the lexicon, before its bound.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int], float], coefficients: list[float], qualified: int = 0):
+        self.terms, self.weights, self.coefficients, self.qualified = terms, weights, coefficients, qualified
 
     def parts(self):
         return self.terms, self.weights, self.coefficients
@@ -276,15 +280,16 @@ def _choose(found: list) -> list[tuple[str, bool]]:
     return sorted([(w, False) for w in words if not any(w.startswith(s) for s in stems)] + [(s, True) for s in stems])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, most_terms: int = TERMS) -> Model:
     """Learn from at most sample_rows labelled rows that are not held out, one of near copies.
 
     Words and beginnings of words are counted over the sample by tasks; those whose occurrences stand in toxic
-    texts with a share of surely LEAST_SHARE enter the lexicon, TERMS at most. A second pass weighs exact hits
+    texts with a share of surely LEAST_SHARE enter the lexicon, the surest most_terms at most; how many would is the
+    model's `qualified`, and a warning says so where the bound leaves some out. A second pass weighs exact hits
     and each number of edits by that share, where edits that mostly give ordinary words count for nothing; a
     third fits a logistic regression to five features of each sampled text's hits.
     Labels other than 0 and 1 and null ids or texts are left out; an id labelled twice counts as the larger.
-    Without labels the lexicon is empty and every score is that of no evidence.
+    Without labels, or without documents, the lexicon is empty and every score is that of no evidence.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
@@ -295,7 +300,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = materialize(rows.select("text", "toxic"), "toxic-sample")
     counts = rows.mapInArrow(_term_counts, "term string, stem boolean, docs long, toxic_docs long, n long, n_toxic long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("docs", "toxic_docs", "n", "n_toxic")))
     sure = counts.where(F.col("toxic_docs") >= LEAST_DOCS).withColumn("share", _wilson(F.col("n_toxic"), F.col("n"))).where(F.col("share") >= LEAST_SHARE)
-    terms = _choose(sure.orderBy(F.desc("share"), "stem", F.length("term"), "term").limit(TERMS).collect())
+    found = sure.orderBy(F.desc("share"), "stem", F.length("term"), "term").limit(most_terms + 1).collect()
+    qualified = len(found) if len(found) <= most_terms else sure.count()
+    if qualified > most_terms:
+        warnings.warn(f"{qualified} terms qualify for the lexicon; it keeps the surest {most_terms} of them (most_terms)", stacklevel=2)
+    terms = _choose(found[:most_terms])
     shared = spark.sparkContext.broadcast(terms)
 
     def weigh(batches):
@@ -327,14 +336,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     table = np.array(rows.mapInArrow(describe, "a double, b double, c double, d double, e double, toxic int").collect(), np.float64).reshape(-1, 6)  # a row of each sampled text
     coefficients = _logistic(table[:, :5], table[:, 5]) if len(table) else np.array([math.log(0.02)] + [0.0] * 5)
-    return Model(terms, weights, coefficients.tolist())
+    return Model(terms, weights, coefficients.tolist(), qualified)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_hits, spans) of every row; spans are (start, end, term, edits) in the text's lower case.
 
-    Only the text decides. Null and empty texts have the score of no evidence. Rows stay as many as they
-    are; extra columns are not read.
+    Only the text decides, so repeated rows and rows that share an id are each scored by their own. Null and empty
+    texts have the score of no evidence; very long ones are read whole. An empty table gives an empty one. Rows stay
+    as many as they are; extra columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("edits", pa.int32())]))

@@ -199,6 +199,9 @@ def test_toxicity_context_and_held_out(spark, sf_dir, odd):
     assert sum(p for t, p in held if not t) <= 0.05 * sum(1 - t for t, _ in held)
     scored = toxicity.score(odd, model).collect()
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
+    assert model.qualified > 2
+    with pytest.warns(UserWarning, match=f"{model.qualified} terms qualify"):
+        assert len(toxicity.fit(docs, labels, most_terms=2).terms) <= 2
     empty = toxicity.fit(docs.limit(0), labels.limit(0))
     assert empty.terms == [] and toxicity.score(odd, empty).where("score >= 0.3").count() == 0
 
