@@ -37,13 +37,14 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return grams.distinct()
 
 
-def overlap(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, gated: bool = False) -> DataFrame:
+def overlap(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, gated: bool = False, sample=sampled_grams) -> DataFrame:
     """(id, positions, hits, percent): sampled positions of each query, and how many stand in the corpus.
 
     gated leaves texts of fewer than LEAST_WORDS words unasked, as the service does: they have no position.
+    sample is the function that gave the index its grams.
     """
     asked = queries.where(F.size(overlap_words(F.col(text_col))) >= LEAST_WORDS) if gated else queries
-    grams = sampled_grams(asked, id_col, text_col)
+    grams = sample(asked, id_col, text_col)
     wanted = grams.select("gram").distinct()
     known = index.join(wanted, "gram", "left_semi").select("gram").distinct().withColumn("hit", F.lit(1))
     per = grams.join(known, "gram", "left").groupBy("id").agg(F.count("*").alias("positions"), F.count("hit").alias("hits"))
@@ -52,9 +53,9 @@ def overlap(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, ga
     return every.select("id", n.alias("positions"), hits.alias("hits"), F.when(n > 0, rounded(100.0 * hits / n, 1)).otherwise(F.lit(0.0)).alias("percent"))
 
 
-def top_sources(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = TOP) -> DataFrame:
+def top_sources(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = TOP, sample=sampled_grams) -> DataFrame:
     """(id, chunk, n, percent, rank): the k texts of the corpus that hold most of a query's sampled positions."""
-    grams = sampled_grams(queries, id_col, text_col)
+    grams = sample(queries, id_col, text_col)
     total = grams.groupBy("id").agg(F.count("*").alias("positions"))
     counted = grams.groupBy("id", "gram").agg(F.count("*").alias("m")).join(index, "gram").groupBy("id", "chunk").agg(F.sum("m").alias("n"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "chunk"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
+from inkwell.operators import budgets
 from inkwell.plans import snippets as sq
 from inkwell.plans.registry import query
 from inkwell.storage import table
@@ -112,3 +113,31 @@ def api_paragraphs(spark, sf_dir):
 def text_previews(spark, sf_dir):
     """The start of each text, and the characters of it that a request takes."""
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 220).alias("preview"), F.least(F.length("text"), F.lit(400000)).cast("long").alias("n_used"))
+
+
+# What one request takes, in works, characters of a work, characters in all, paragraphs of a text.
+MOST_WORKS, WORK_CHARS, TOTAL_CHARS, MOST_PARAGRAPHS = 30, 400_000, 2_500_000, 80
+
+
+@query(
+    "portfolio_budgets",
+    f"""WITH r AS (SELECT source, least(length(text), {WORK_CHARS}) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n_works FROM documents WHERE source IS NOT NULL)
+SELECT source, n_works, count(*) AS n_used, sum(n)::BIGINT AS n_chars, sum(n) > 0 AND sum(n) <= {TOTAL_CHARS} AS accepted FROM r WHERE r <= {MOST_WORKS} GROUP BY source, n_works""",
+)
+def portfolio_budgets(spark, sf_dir):
+    """Each author's portfolio as a request takes it: the first works, each cut, and whether they fit together."""
+    return budgets.portfolios(table(spark, sf_dir, "documents"), "source", "doc_id", "text", MOST_WORKS, WORK_CHARS, TOTAL_CHARS)
+
+
+_ALL_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda s: " + sq.trimmed("s") + "), lambda s: s <> '')"
+
+
+@query(
+    "paragraph_budgets",
+    f"""SELECT doc_id, len(p) AS n_paragraphs, least(len(p), {MOST_PARAGRAPHS}) AS n_used, coalesce(list_sum(list_transform(list_slice(p, 1, {MOST_PARAGRAPHS}), lambda x: length(x))), 0)::BIGINT AS n_chars,
+sha256(array_to_string(list_transform(list_slice(p, 1, {MOST_PARAGRAPHS}), lambda x: substr(x, 1, 220)), chr(10))) AS previews_sha256 FROM (SELECT doc_id, {_ALL_LINES} AS p FROM documents)""",
+)
+def paragraph_budgets(spark, sf_dir):
+    """The first paragraphs (lines) of each text, as many as a request takes, and their previews."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s, F.lit(" \t\n\r\x0c\x0b"))), lambda s: s != "")
+    return budgets.first_paragraphs(table(spark, sf_dir, "documents").select("doc_id", lines.alias("p")), "p", MOST_PARAGRAPHS)

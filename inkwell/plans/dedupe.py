@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import fingerprint, gram_set, hashes, long_size, rounded, tokens
 from inkwell.operators import neardup, overlap
+from inkwell.operators import overlap_index as index
 from inkwell.operators.skew import join_groups
 from inkwell.plans import snippets as sq
 from inkwell.plans.registry import query
-from inkwell.storage import materialize, table
+from inkwell.storage import materialize, shared_folder, table
 
 _FP = f"sha256(regexp_replace(lower({sq.trimmed('text')}), '\\s+', ' ', 'g'))"
 
@@ -143,6 +146,45 @@ def overlap_index_stats(spark, sf_dir):
     return entries.agg(F.sum("m").alias("n_positions"), F.count("*").alias("n_entries"), F.count_distinct("gram").alias("n_grams"), F.count_distinct("id").alias("n_chunks"))
 
 
+_WRAP = "18446744073709551616::UHUGEINT"
+# The rolling hash in SQL: CRC-32 of each distinct word by eight steps a byte, the sum of codes times powers that wraps at 64 bits, and the mixing.
+_HASHED = f"""texts AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents UNION ALL SELECT 'q', item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') FROM benchmark),
+placed AS (SELECT side, id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM texts),
+crc AS (SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(word, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1])))),
+  lambda s, x: CASE WHEN x < 0 THEN xor(s >> 1, 3988292384 * (s & 1)) ELSE xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1)) END), 4294967295::BIGINT) AS code FROM (SELECT DISTINCT word FROM placed)),
+coded AS (SELECT side, id, pos, list(code) OVER (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS codes FROM placed JOIN crc USING (word)),
+rolled AS (SELECT side, id, pos, list_reduce(list_transform(codes, lambda c: c::UHUGEINT), lambda h, c: (h * {index.ROLL}::UHUGEINT + c) % {_WRAP}) AS h FROM coded WHERE len(codes) = 8),
+half AS (SELECT side, id, pos, (xor(h, h >> 29) * {index.MIX}::UHUGEINT) % {_WRAP} AS h FROM rolled), grams AS (SELECT side, id, xor(h, h >> 32) AS gram FROM half WHERE xor(h, h >> 32) % 4 = 0),
+i AS (SELECT DISTINCT gram, id AS chunk FROM grams WHERE side = 'd'), q AS (SELECT id, gram FROM grams WHERE side = 'q')"""
+
+
+def _looked_up(spark, sf_dir):
+    """What an index of all documents, written and kept, knows of the benchmark's grams."""
+    path = f"{shared_folder(spark)}/inkwell-overlap-{uuid.uuid4().hex}"
+    index.write(index.entries(table(spark, sf_dir, "documents")), path, 16)
+    return index.lookup(spark, path, index.hashed_grams(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
+@query(
+    "kept_index_overlap",
+    f"""WITH {_HASHED}, c AS (SELECT id, count(*) AS positions, count(*) FILTER (gram IN (SELECT gram FROM i)) AS hits FROM q GROUP BY id)
+SELECT item_id, coalesce(positions, 0) AS positions, coalesce(hits, 0) AS hits, coalesce({sq.rounded('100.0::DOUBLE * hits / positions', 1)}, 0.0) AS percent FROM benchmark LEFT JOIN c ON id = item_id""",
+)
+def kept_index_overlap(spark, sf_dir):
+    """How much of each benchmark item stands in the documents, by the rolling hash and an index that is kept."""
+    return overlap.overlap(_looked_up(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", sample=index.hashed_grams).withColumnRenamed("id", "item_id")
+
+
+@query(
+    "kept_index_top5",
+    f"""WITH {_HASHED}, t AS (SELECT id, count(*) AS positions FROM q GROUP BY id), c AS (SELECT id, chunk, count(*) AS n FROM q JOIN i USING (gram) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, chunk) AS rank FROM c)
+SELECT id AS item_id, chunk, n, {sq.rounded('100.0::DOUBLE * n / positions', 1)} AS percent, rank FROM r JOIN t USING (id) WHERE rank <= 5""",
+)
+def kept_index_top5(spark, sf_dir):
+    return overlap.top_sources(_looked_up(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", sample=index.hashed_grams).withColumnRenamed("id", "item_id")
+
+
 @query("latest_per_source", "SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rank FROM documents) WHERE rank <= 5")
 def latest_per_source(spark, sf_dir):
     """The five newest texts of each source."""
