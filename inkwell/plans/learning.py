@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
+from inkwell.operators import analysis as an
 from inkwell.operators import attribution as at
 from inkwell.operators import books as bk
 from inkwell.operators import chunking as ck
@@ -175,6 +176,27 @@ def predicted_authors(spark, sf_dir):
     return model.predict(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), SIZE).withColumnRenamed("id", "item_id")
 
 
+def _paragraphs(spark, sf_dir):
+    """All documents, their lines as paragraphs and their language as the expected author, by a stack that saw the other books and a machine model of the conversations."""
+    model, _ = _attribution(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    machine = an.MachineModel.fit(turns.select((F.col("role") == "assistant").alias("label"), "text"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("expected"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return an.paragraph_analysis(texts, model, machine)
+
+
+@query("paragraph_analysis_by_model")
+def paragraph_analysis_by_model(spark, sf_dir):
+    """Each paragraph's chance of the expected author (language), its likeliest author, and its machine score, by fitted models."""
+    return _paragraphs(spark, sf_dir).drop("text").withColumnRenamed("id", "doc_id")
+
+
+@query("document_analysis_by_model")
+def document_analysis_by_model(spark, sf_dir):
+    """Documents judged by the means over their paragraphs, by fitted models in place of letter counts."""
+    return an.document_analysis(_paragraphs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 @query("full_verdicts")
 def full_verdicts(spark, sf_dir):
     """The whole record of each benchmark text against each profile (language): leakage, copies, impostors, verdict and reason."""

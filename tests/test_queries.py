@@ -5,7 +5,7 @@ from conftest import duck_rows, rows_of
 
 from inkwell.plans.registry import QUERIES, SQL
 
-SLOW = {"attribution_stack", "blended_verdicts", "similarity_features", "verification_verdicts", "impostors_score", "cosine_pairs"}  # covered at their parts
+SLOW = {"attribution_stack", "blended_verdicts", "similarity_features", "verification_verdicts", "impostors_score", "cosine_pairs", "paragraph_analysis_by_model", "document_analysis_by_model"}  # covered at their parts
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
