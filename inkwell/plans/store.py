@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.operators import ratelimit
 from inkwell.plans import snippets as sq
 from inkwell.plans.registry import query
-from inkwell.storage import table
+from inkwell.sources import sinks
+from inkwell.storage import shared_folder, table
 
 DAY, LIMIT = 86_400.0, 2
 
@@ -25,6 +28,14 @@ def texts_of_candidate(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("source") == "src3").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
+@query("stored_texts_in_order", "SELECT doc_id, length(text) AS n FROM documents WHERE source = 'src3' AND doc_id >= 50")
+def stored_texts_in_order(spark, sf_dir):
+    """One candidate's texts from an id on, in order, out of a store that is clustered by candidate and id."""
+    path = f"{shared_folder(spark)}/inkwell-store-{uuid.uuid4().hex}"
+    sinks.write_store(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), path, "source", "doc_id")
+    return sinks.texts_of(spark, path, "src3", 50, candidate="source", id_col="doc_id").select("doc_id", F.length("text").cast("long").alias("n"))
+
+
 _LIMIT = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, event_id, k, [t] AS q, true AS allowed FROM e WHERE k = 1
   UNION ALL SELECT user_id, event_id, k, CASE WHEN len(live) >= {LIMIT} THEN live ELSE list_append(live, t) END, len(live) < {LIMIT}

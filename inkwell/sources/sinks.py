@@ -63,6 +63,28 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_store(texts: DataFrame, path: str, candidate: str = "candidate", id_col: str = "id") -> None:
+    """Texts in the order of their ids, a directory for each candidate; one of very many texts has a file for each range of ids."""
+    texts.repartitionByRange(candidate, id_col).sortWithinPartitions(candidate, id_col).write.mode("overwrite").partitionBy(candidate).parquet(path)
+
+
+def compact_store(spark: SparkSession, path: str, to: str, candidate: str = "candidate") -> None:
+    """The store at a path written anew at another one: many small appends become few sorted files, ids stay."""
+    if path.rstrip("/") == to.rstrip("/"):
+        raise ValueError("a store is compacted to another path")
+    write_store(read_store(spark, path), to, candidate)
+
+
+def texts_of(spark: SparkSession, path: str, name: str, first: int | None = None, last: int | None = None, candidate: str = "candidate", id_col: str = "id") -> DataFrame:
+    """A candidate's texts in the order of their ids, from the first to the last id if given; other candidates' files and other ranges are not read."""
+    rows = read_store(spark, path).where(F.col(candidate) == name)
+    if first is not None:
+        rows = rows.where(F.col(id_col) >= first)
+    if last is not None:
+        rows = rows.where(F.col(id_col) <= last)
+    return rows.orderBy(id_col)
+
+
 def write_multiscale(chunks: DataFrame, path: str) -> None:
     """The multiscale data set of chunks, in hash order."""
     write_shuffled(multiscale(chunks), path, "chunk_id")
