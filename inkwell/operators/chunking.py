@@ -30,6 +30,15 @@ CHAPTER_GAIN, DIALOGUE_COST, WORDS_A_POINT, SLACK = 5.0, 2.0, 50.0, 50
 #: Words of the windows made from sentences, and how many of a text are kept.
 WINDOWS = {"medium": (600, 900, 2), "semi_small": (250, 400, 3), "window": (60, 180, 3)}
 PHRASE, SENTENCE = (10, 25, 4), (4, 60, 6)
+#: Texts whose pieces a task holds at a time.
+ROWS = 64
+
+
+def _some(batches):
+    """Batches in parts of a few rows, so that what is made of them is passed on before the next."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
 
 
 def chunk_ends(words: np.ndarray, opens: np.ndarray, closes: np.ndarray, chapters: np.ndarray, size: Sizes) -> list[tuple[int, int, bool]]:
@@ -128,7 +137,7 @@ def chunk_records(docs: DataFrame, size: Sizes = Sizes(), id_col: str = "doc_id"
     def run(batches):
         nonlocal boundary
         boundary = _python_boundary()
-        for batch in batches:
+        for batch in _some(batches):
             rows = []
             for k, text in enumerate(batch.column(1)):
                 lines = [s for s in ((line or "").strip() for line in (text.as_py() or "").split("\n")) if s]
@@ -172,7 +181,7 @@ def spans(docs: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "t
     lo, hi, _ = WINDOWS[kind]
 
     def run(batches):
-        for batch in batches:
+        for batch in _some(batches):
             at, pos, words, texts = [], [], [], []
             for k in range(batch.num_rows):
                 s = batch.column(1)[k].as_py()

@@ -5,6 +5,7 @@ import unicodedata
 import pyarrow as pa
 
 from inkwell.functions import unicode
+from inkwell.operators import chunking
 
 
 def test_texts_are_composed_some_at_a_time(monkeypatch):
@@ -14,3 +15,24 @@ def test_texts_are_composed_some_at_a_time(monkeypatch):
     assert unicode.composed.func(pa.array(texts)).to_pylist() == [t and unicodedata.normalize("NFC", t) for t in texts]
     assert max(asked) == unicode.ROWS and sum(asked) == len(texts)
     assert unicode.composed.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_chunks_and_windows_are_passed_on_some_texts_at_a_time(spark, monkeypatch):
+    ran = []
+
+    def kept(self, run, schema):
+        ran.append(run)
+        return whole(self, run, schema)
+
+    whole = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", kept)
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    chunking.chunk_records(docs)
+    chunking.spans(docs, "window")
+    n = 3 * chunking.ROWS + 1
+    texts = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["One line here.\nAnother line."] * n)], names=["id", "t"])
+    sents = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([["word " * 70]] * n)], names=["id", "s"])
+    for run, batch in zip(ran, (texts, sents)):
+        got = list(run([batch]))
+        assert [b.num_rows for b in got] == [chunking.ROWS] * 3 + [1]
+        assert [x for b in got for x in b.column(0).to_pylist()] == list(range(n))
