@@ -15,8 +15,8 @@ from inkwell.storage import materialize
 #: (terms at most, share of texts that a term may stand in); terms of one text only are left out.
 WORD, CHAR = (15_000, 0.90), (20_000, 0.95)
 LEAST_TEXTS = 2
-#: Rows taken from a batch at a time; terms, and tokens with their terms, that a task holds before it passes sums on.
-ROWS, HELD_TERMS, HELD_TOKENS = 256, 500_000, 200_000
+#: Rows taken from a batch at a time; terms that a task holds before it passes sums on.
+ROWS, HELD_TERMS = 256, 500_000
 LONGEST_GRAM = 5
 #: Cells (rows by terms) in which the terms of a step's rows are counted.
 CELLS = 2_000_000
@@ -40,32 +40,38 @@ def following(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, rows[first]
 
 
-class Grams:
-    """The runs of 2 to 5 characters inside padded tokens, as numbers that look_up gives; those of tokens met are kept."""
+def grams_of(tokens: list[str]):
+    """For 2 to 5 characters: (whose, codes, grams), the runs inside padded tokens in their order, as numbers of the different ones.
 
-    def __init__(self, look_up):
-        self.look_up, self.of_token = look_up, {}
-
-    def _of(self, token: str) -> np.ndarray:
-        if (known := self.of_token.get(token)) is None:
-            w = f" {token} "
-            known = self.of_token[token] = self.look_up([w[o : o + n] for n in range(2, min(LONGEST_GRAM, len(w)) + 1) for o in range(len(w) - n + 1)])
-        return known
-
-    def spread(self, rows: np.ndarray, codes: np.ndarray, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, numbers, times), by row: each different token of a row once, with its grams and how often it stands there."""
-        if len(self.of_token) >= HELD_TOKENS:
-            self.of_token.clear()
-        if not tokens:
-            return (np.empty(0, np.int64),) * 3
-        held = [self._of(t) for t in tokens]
-        size = np.fromiter(map(len, held), np.int64, len(held))
-        grams, start = np.concatenate(held), np.cumsum(size) - size
-        pairs, times = np.unique(rows * len(tokens) + codes, return_counts=True)
-        row, code = np.divmod(pairs, len(tokens))
-        n = size[code]
-        at = np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(row, n), grams[at], np.repeat(times, n)
+    Runs of a length are told apart as those one shorter with a further character, so no string is cut out but one of each.
+    """
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2
+    line = f" {'  '.join(tokens)} "
+    points = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+    whose, left = np.repeat(np.arange(len(tokens)), size), np.repeat(np.cumsum(size), size) - np.arange(len(points))
+    at, codes = np.arange(len(points)), points
+    for n in range(2, LONGEST_GRAM + 1):
+        fits = left[at] >= n
+        at = at[fits]
+        coded = pa.array((codes[fits] << 21) | points[at + n - 1]).dictionary_encode()
+        codes, first = coded.indices.to_numpy().astype(np.int64), np.empty(len(coded.dictionary), np.int64)
+        first[codes[::-1]] = at[::-1]
+        yield whose[at], codes, [line[o : o + n] for o in first.tolist()]
+
+
+class Met:
+    """The different tokens of each row of some lists, by row, with how often each stands there."""
+
+    def __init__(self, lists: pa.Array):
+        rows, self.codes, self.tokens = flat(lists)
+        pairs, self.times = np.unique(rows * len(self.tokens) + self.codes, return_counts=True)
+        self.row, self.code = np.divmod(pairs, max(1, len(self.tokens)))
+
+    def spread(self, whose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, at): how many of the entries, which belong to tokens in ascending order, each token of a row has, and where those stand."""
+        size = np.bincount(whose, minlength=len(self.tokens))
+        n = size[self.code]
+        return n, np.repeat((np.cumsum(size) - size)[self.code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class KnownTerms:
@@ -74,7 +80,7 @@ class KnownTerms:
     def __init__(self, kind: str, known: dict[str, int]):
         self.kind, self.size = kind, max(known.values(), default=-1) + 1
         if kind == "char":
-            self.grams = Grams(lambda terms: np.fromiter((x for t in terms if (x := known.get(t, -1)) >= 0), np.int64))
+            self.known = known
             return
         pairs = [(t.split(" "), x) for t, x in known.items() if " " in t]
         words = {w: k for k, w in enumerate(sorted({t for t in known if " " not in t} | {w for p, _ in pairs for w in p}))}
@@ -87,9 +93,9 @@ class KnownTerms:
         self.pairs, self.numbers = (np.array([o[k] for o in order], np.int64) for k in (0, 1))
 
     def _met(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        rows, codes, tokens = flat(lists)
         if self.kind == "char":
-            return self.grams.spread(rows, codes, tokens)
+            return self._met_grams(Met(lists))
+        rows, codes, tokens = flat(lists)
         names = np.fromiter((self.words.get(t, -1) for t in tokens), np.int64, len(tokens))[codes]
         first, whose = following(rows, codes)
         a, b = names[first], names[first + 1]
@@ -102,16 +108,32 @@ class KnownTerms:
         kept = number >= 0
         return np.concatenate([rows, whose[hit]])[kept], number[kept], None
 
+    def _met_grams(self, met: Met) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each different token of a row once, with its grams and how often it stands there."""
+        if not met.tokens:
+            return (np.empty(0, np.int64),) * 3
+        owners, found = [], []
+        for whose, codes, grams in grams_of(met.tokens):
+            number = np.fromiter((self.known.get(g, -1) for g in grams), np.int64, len(grams))[codes]
+            owners.append(whose[number >= 0])
+            found.append(number[number >= 0])
+        order = np.argsort(np.concatenate(owners), kind="stable")
+        n, at = met.spread(np.concatenate(owners)[order])
+        return np.repeat(met.row, n), np.concatenate(found)[order][at], np.repeat(met.times, n)
+
     def count(self, lists: pa.Array):
         """(rows, numbers, times) of some lists at a time, by row and number, with the place of the first of them."""
         step = max(1, min(ROWS, CELLS // max(1, self.size)))
-        for lo in range(0, len(lists), step):
-            part = lists.slice(lo, step)
+        for lo in range(0, len(lists), ROWS):
+            part = lists.slice(lo, ROWS)
             rows, numbers, times = self._met(part)
-            cells = np.bincount(rows * self.size + numbers, times, len(part) * self.size) if len(rows) else np.empty(0)
-            at = np.flatnonzero(cells)
-            row, number = np.divmod(at, max(1, self.size))
-            yield lo, len(part), row, number, cells[at]
+            for top in range(0, len(part), step):
+                size = min(step, len(part) - top)
+                own = (rows >= top) & (rows < top + size)
+                cells = np.bincount((rows[own] - top) * self.size + numbers[own], None if times is None else times[own], size * self.size)
+                at = np.flatnonzero(cells)
+                row, number = np.divmod(at, max(1, self.size))
+                yield lo + top, size, row, number, cells[at]
 
     def weights(self, lists: pa.Array, idf: np.ndarray):
         """The same with the entries of unit vectors in place of times: sublinear counts by idf, of length 1 in each row."""
@@ -126,22 +148,29 @@ class GramSums:
 
     def __init__(self):
         self.numbers: dict[str, int] = {}
-        self.grams = Grams(lambda terms: np.fromiter((self.numbers.setdefault(t, len(self.numbers)) for t in terms), np.int64, len(terms)))
-        self.df = self.cf = self.seen = np.zeros(0, np.int64)
+        self.df = self.cf = np.zeros(0, np.int64)
 
     def __len__(self) -> int:
         return len(self.numbers)
 
     def add(self, lists: pa.Array) -> None:
-        rows, numbers, times = self.grams.spread(*flat(lists))
-        if (more := len(self) - len(self.df)) > 0:
-            self.df, self.cf, self.seen = (np.concatenate([x, np.zeros(more + len(x), np.int64)]) for x in (self.df, self.cf, self.seen))
-        self.cf += np.bincount(numbers, times, len(self.cf)).astype(np.int64)
-        ends = np.searchsorted(rows, np.arange(len(lists) + 1))
-        for lo, hi in zip(ends, ends[1:]):
-            met, at = numbers[lo:hi], np.arange(hi - lo)
-            self.seen[met] = at  # of equal ones the last stays, so each is told once
-            self.df[met[self.seen[met] == at]] += 1
+        met = Met(lists)
+        if not met.tokens:
+            return
+        ends, often = np.searchsorted(met.row, np.arange(len(lists) + 1)), np.bincount(met.codes, minlength=len(met.tokens))
+        for whose, codes, grams in grams_of(met.tokens):
+            numbers = np.fromiter((self.numbers.setdefault(g, len(self.numbers)) for g in grams), np.int64, len(grams))
+            if (more := len(self) - len(self.df)) > 0:
+                self.df, self.cf = (np.concatenate([x, np.zeros(more + len(x), np.int64)]) for x in (self.df, self.cf))
+            self.cf[numbers] += np.bincount(codes, often[whose], len(grams)).astype(np.int64)
+            n, at = met.spread(whose)
+            held, df, seen = codes[at], np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+            bounds = np.concatenate([[0], np.cumsum(n)])[ends]
+            for lo, hi in zip(bounds, bounds[1:]):
+                own, place = held[lo:hi], np.arange(hi - lo)
+                seen[own] = place  # of equal ones the last stays, so each is told once
+                df[own[seen[own] == place]] += 1
+            self.df[numbers] += df
 
     def sums(self) -> list[pa.Array]:
         n = len(self)
