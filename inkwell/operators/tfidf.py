@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +22,8 @@ ROWS, HELD_TERMS = 256, 500_000
 LONGEST_GRAM = 5
 #: Cells (rows by terms) in which the terms of a step's rows are counted.
 CELLS = 2_000_000
+#: Counters that pairs of words are first counted in by hash (a power of two), those of a row, and words at most that pairs are then counted of by number.
+BUCKETS, BLOCK, PAIRED_WORDS = 1 << 20, 1 << 12, 400_000
 
 
 def tokens_of(text: Column, kind: str) -> Column:
@@ -177,27 +181,19 @@ class GramSums:
         return [pa.array(list(self.numbers), pa.string()), pa.array(self.df[:n]), pa.array(self.cf[:n])]
 
 
-class WordSums:
-    """df and cf of all words and pairs of words met; pairs are numbers until they are passed on."""
+class PairedSums:
+    """df and cf by pairs of numbers, merged as they grow."""
 
     def __init__(self):
-        self.words: dict[str, int] = {}
         self.held, self.fresh, self.n_fresh = [np.zeros(0, np.int64)] * 3, [], 0
 
     def __len__(self) -> int:
         return len(self.held[0]) + self.n_fresh
 
-    def add(self, lists: pa.Array) -> None:
-        rows, codes, tokens = flat(lists)
-        if not tokens:
-            return
-        names = np.fromiter((self.words.setdefault(t, len(self.words)) for t in tokens), np.int64, len(tokens))[codes]
-        first, whose = following(rows, codes)
-        # A word by itself is a pair with nothing, 0.
-        keys = np.concatenate([names << 32, (names[first] << 32) + names[first + 1] + 1])
+    def _count(self, rows: np.ndarray, keys: np.ndarray) -> None:
         met, place, cf = np.unique(keys, return_inverse=True, return_counts=True)
-        own = np.unique(np.concatenate([rows, whose]) * len(met) + place)
-        self.fresh.append((met, np.bincount(own % len(met), minlength=len(met)), cf))
+        own = np.unique(rows * len(met) + place)
+        self.fresh.append((met, np.bincount(own % max(1, len(met)), minlength=len(met)), cf))
         self.n_fresh += len(met)
         if self.n_fresh > max(len(self.held[0]), HELD_TERMS // 2):
             self._merge()
@@ -208,6 +204,23 @@ class WordSums:
         self.held = [met, *(np.bincount(place, x, len(met)).astype(np.int64) for x in (df, cf))]
         self.fresh, self.n_fresh = [], 0
 
+
+class WordSums(PairedSums):
+    """df and cf of all words and pairs of words met; pairs are numbers until they are passed on."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: dict[str, int] = {}
+
+    def add(self, lists: pa.Array) -> None:
+        rows, codes, tokens = flat(lists)
+        if not tokens:
+            return
+        names = np.fromiter((self.words.setdefault(t, len(self.words)) for t in tokens), np.int64, len(tokens))[codes]
+        first, whose = following(rows, codes)
+        # A word by itself is a pair with nothing, 0.
+        self._count(np.concatenate([rows, whose]), np.concatenate([names << 32, (names[first] << 32) + names[first + 1] + 1]))
+
     def sums(self) -> list[pa.Array]:
         self._merge()
         names, (keys, df, cf) = pa.array(list(self.words), pa.string()), self.held
@@ -218,6 +231,133 @@ class WordSums:
         return [pa.concat_arrays([words, pairs]), *(pa.array(np.concatenate([x[one], x[~one]])) for x in (df, cf))]
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+
+
+def buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The counters of pairs of words with these hashes."""
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+class SingleSums:
+    """df and cf of all words met, and how many pairs of neighbours fell to each counter."""
+
+    def __init__(self):
+        self.pairs = np.zeros(BUCKETS, np.int64)
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.words: dict[str, int] = {}
+        self.df = self.cf = np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def add(self, lists: pa.Array) -> None:
+        rows, codes, tokens = flat(lists)
+        if not tokens:
+            return
+        numbers = np.fromiter((self.words.setdefault(t, len(self.words)) for t in tokens), np.int64, len(tokens))
+        if (more := len(self) - len(self.df)) > 0:
+            self.df, self.cf = (np.concatenate([x, np.zeros(more + len(x), np.int64)]) for x in (self.df, self.cf))
+        self.cf[numbers] += np.bincount(codes, minlength=len(tokens))
+        self.df[numbers] += np.bincount(np.unique(rows * len(tokens) + codes) % len(tokens), minlength=len(tokens))
+        hashes, (first, _) = word_hashes(tokens)[codes], following(rows, codes)
+        self.pairs += np.bincount(buckets(hashes[first], hashes[first + 1]), minlength=BUCKETS)
+
+    def sums(self) -> pa.RecordBatch:
+        n = len(self)
+        return pa.RecordBatch.from_arrays([pa.array(list(self.words), pa.string()), pa.array(self.df[:n]), pa.array(self.cf[:n]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names=SINGLE)
+
+    def counters(self) -> pa.RecordBatch:
+        rows = self.pairs.reshape(-1, BLOCK)
+        at = np.flatnonzero(rows.any(axis=1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BLOCK), pa.array(rows[at].ravel().astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), *(pa.nulls(len(at), pa.int64()),) * 2, pa.array(at.astype(np.int32)), lists], names=SINGLE)
+
+
+SINGLE = ["term", "df", "cf", "block", "pairs"]
+
+
+class CommonPairs(PairedSums):
+    """df and cf of the pairs of some words that fall to some counters."""
+
+    def __init__(self, words: list[str], open_: np.ndarray):
+        super().__init__()
+        self.names, self.hashes, self.open = words, word_hashes(words), open_
+        self.words = {w: k for k, w in enumerate(words)}
+
+    def add(self, lists: pa.Array) -> None:
+        rows, codes, tokens = flat(lists)
+        names = np.fromiter((self.words.get(t, -1) for t in tokens), np.int64, len(tokens))[codes]
+        first, whose = following(rows, codes)
+        fine = (names[first] >= 0) & (names[first + 1] >= 0)
+        first, whose = first[fine], whose[fine]
+        fine = self.open[buckets(self.hashes[names[first]], self.hashes[names[first + 1]])]
+        self._count(whose[fine], names[first[fine]] * len(self.names) + names[first[fine] + 1])
+
+    def pass_on(self) -> pa.RecordBatch:
+        self._merge()
+        (keys, df, cf), names = self.held, pa.array(self.names, pa.string())
+        self.held = [np.zeros(0, np.int64)] * 3
+        a, b = (names.take(pa.array(x)) for x in np.divmod(keys, max(1, len(self.names))))
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(a, b, " "), pa.array(df), pa.array(cf)], names=["term", "df", "cf"])
+
+
+def common_terms(docs: DataFrame, text_col: str, most: int, share: float, n: int) -> DataFrame:
+    """(term, df, cf), exact, of words and of all pairs of words that can be among the `most` commonest terms; n texts.
+
+    Once as many words as that may be chosen, a term as rare as the last of them (`least`) or rarer can't displace
+    one, and a pair is no commoner than either word, nor than all pairs that fall to its counter. So words and
+    counters are summed first, and pairs then only where both words and the counter reach `least`.
+    """
+    spark = docs.sparkSession
+    lists = docs.select(tokens_of(F.col(text_col), "word").alias("tokens"))
+
+    def single(batches):
+        held = SingleSums()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                held.add(batch.column(0).slice(lo, ROWS))
+                if len(held) > HELD_TERMS:
+                    yield held.sums()
+                    held.fresh()
+        yield held.sums()
+        yield held.counters()
+
+    parts = materialize(lists.mapInArrow(single, "term string, df long, cf long, block int, pairs array<int>"), "word-sums")
+    words = materialize(parts.where("block is null").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= LEAST_TEXTS), "words")
+    last = words.where(F.col("df") <= share * n).orderBy(F.desc("cf")).limit(most).agg(F.count("*"), F.min("cf")).first()
+    least = last[1] if last[0] == most else LEAST_TEXTS
+    common = words.where(F.col("cf") >= least).select("term")
+    found = common.limit(PAIRED_WORDS + 1).collect()
+    if len(found) > PAIRED_WORDS:  # very many words as rare as the last
+        return term_sums(docs, "word", text_col)
+    # A bounded number of counters: a row of each task for each block of them.
+    def reached(block: pa.Table) -> pa.Table:
+        sums = block["pairs"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCK).sum(axis=0, dtype=np.int64)
+        return pa.table({"block": block["block"].slice(0, 1), "at": pa.array([np.flatnonzero(sums >= least)], pa.list_(pa.int64()))})
+
+    open_ = np.zeros(BUCKETS, bool)
+    for r in parts.where("block is not null").select("block", "pairs").groupBy("block").applyInArrow(reached, "block int, at array<long>").collect():
+        open_[r["block"] * BLOCK + np.array(r["at"], np.int64)] = True
+    known = spark.sparkContext.broadcast((sorted(r["term"] for r in found), open_))
+
+    def paired(batches):
+        held = CommonPairs(*known.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                held.add(batch.column(0).slice(lo, ROWS))
+                if len(held) > HELD_TERMS:
+                    yield held.pass_on()
+        yield held.pass_on()
+
+    pairs = lists.mapInArrow(paired, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return words.unionByName(pairs.where(F.col("cf") >= least))
+
+
 def term_sums(docs: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
     """(term, df, cf): in how many texts each term stands and how often, summed in each task before it is shuffled."""
 
@@ -240,7 +380,8 @@ def vocabulary(docs: DataFrame, kind: str, text_col: str = "text", most: int | N
     """(term, idf, ix), written: the commonest terms that stand in neither too few nor too many of the texts, numbered by term."""
     limit, share = WORD if kind == "word" else CHAR
     n = docs.count()
-    stats = term_sums(docs, kind, text_col).where((F.col("df") >= LEAST_TEXTS) & (F.col("df") <= share * n))
+    sums = common_terms(docs, text_col, most or limit, share, n) if kind == "word" else term_sums(docs, kind, text_col)
+    stats = sums.where((F.col("df") >= LEAST_TEXTS) & (F.col("df") <= share * n))
     chosen = stats.orderBy(F.desc("cf"), "term").limit(most or limit).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
     return materialize(chosen.withColumn("ix", F.row_number().over(Window.orderBy("term")) - 1), f"vocabulary-{kind}")  # over the vocabulary's bounded rows
 
