@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import gram_set, hashes, tokens
 from inkwell.storage import materialize
 
 WORDS, STRIDE, SIMILARITY = 50, 25, 0.6
+#: Share of its grams that a set is to have in common, within a prefix longer by as many, to be compared.
+SHARED = 0.2
 
 
 def gram_sets(docs: DataFrame, id_col: str, text_col: str, k: int, stride: int) -> DataFrame:
@@ -26,17 +28,45 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grams.groupBy("grams").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
 
 
+def written_classes(docs: DataFrame, id_col: str, text_col: str, k: int, stride: int) -> DataFrame:
+    """(rep, n, grams): the same classes, written; sets are told apart by 128 bits of hash, so no set is shuffled to find its copies."""
+    keyed = gram_sets(docs, id_col, text_col, k, stride).withColumns({"row": F.monotonically_increasing_id(), "k1": F.xxhash64("grams"), "k2": F.xxhash64(F.lit(id_col), F.size("grams"), "grams")})
+    rows = materialize(keyed, "shingles")
+    first = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
+    copies = materialize(rows.select("row").join(first, "row", "left_anti"), "copies")  # a number each, so that few are broadcast by Spark
+    return rows.join(copies, "row", "left_anti").select(F.col("id").alias("rep"), F.size("grams").alias("n"), "grams")
+
+
+def _shared_by(n: Column) -> Column:
+    """How many grams the longer prefixes of two sets of n grams are to share."""
+    return F.greatest(F.floor(SHARED * n), F.lit(1))
+
+
+def with_shared_prefix(classes: DataFrame, similarity: float) -> DataFrame:
+    """Those classes, none of which may be left out, that have enough grams of a prefix in common with the prefixes of others.
+
+    In the order of hashes, sets that share at least `need` grams share k of their first n - need + k; k goes by the
+    smaller set of the two. Only these parts of the sets are shuffled, and a gram is counted, never joined.
+    """
+    need = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    posted = classes.select("rep", "n", F.explode(F.slice("grams", F.lit(1), (F.col("n") - need + _shared_by(F.col("n"))).cast("int"))).alias("gram"))
+    common = posted.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1")
+    enough = common.groupBy("rep").agg(F.count("*").alias("m"), F.min("n").alias("n")).where(F.col("m") >= _shared_by(need))
+    return classes.join(materialize(enough.select("rep"), "alive"), "rep", "left_semi")
+
+
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, stride: int = STRIDE, similarity: float = SIMILARITY) -> DataFrame:
     """(a_id, b_id, jaccard) of all pairs of class representatives with at least the similarity, a_id < b_id.
 
     Prefix filtering: sets that similar share a gram among the rarest |S| - ceil(similarity * |S|) + 1 of each,
     so only those are joined and a gram that stands everywhere joins nothing. Candidates are verified on whole sets.
+    Sets that have too few grams in common with any other are left out before grams are counted.
     """
-    classes = materialize(shingle_classes(docs, id_col, text_col, k, stride), "shingles")
-    posted = classes.select("rep", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    common = posted.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    classes = with_shared_prefix(written_classes(docs, id_col, text_col, k, stride), similarity)
+    posted = classes.select("rep", "n", F.explode("grams").alias("gram"))
     # Grams of one text only can't match, but they fill the prefix first: the rest is ordered by frequency.
-    shared = posted.join(common, "gram").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("shared"))
+    common = posted.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1")
+    shared = common.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("shared"))
     need = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
     prefix = F.slice("shared", F.lit(1), F.greatest((F.size("shared") - need + 1).cast("int"), F.lit(0)))
     lists = materialize(shared.select("rep", "n", F.col("shared.gram").alias("grams"), prefix["gram"].alias("prefix")).where(F.size("prefix") > 0), "prefixes")
