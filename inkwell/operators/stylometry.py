@@ -26,8 +26,8 @@ def stylometry(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Arrays that several measures read are columns of their own, so each is made once.
     """
     text = F.col("text")
-    words = docs.select(F.col(id_col), F.col(text_col).alias("text"), tx.alphabetic(tx.tokens(F.col(text_col))).alias("words"))
-    lower = words.withColumns({"lower": F.array_sort(tx.stripped_lower(F.col("words"))), "sent": F.transform(tx.sentences(text), lambda s: tx.word_count(s).cast("double")), "paras": F.filter(F.split("text", "\n\n"), lambda p: F.trim(p, F.lit(" \t\r\n")) != "")})
+    words = docs.select(F.col(id_col), F.col(text_col).alias("text"), tx.alphabetic_tokens(F.col(text_col)).alias("words"))
+    lower = words.withColumns({"lower": F.array_sort(tx.stripped_lower(F.col("words"))), "sent": F.transform(tx.sentences(text), lambda s: F.regexp_count(s, F.lit(tx.TOKEN)).cast("double")), "paras": F.filter(F.split("text", "\n\n"), lambda p: F.trim(p, F.lit(" \t\r\n")) != "")})
     base = lower.withColumns({
         "wl": _lengths(F.col("lower"), F.length), "n": F.greatest(F.size("words"), F.lit(1)), "ns": F.greatest(F.size("sent"), F.lit(1)), "np": F.greatest(F.size("paras"), F.lit(1)),
         "sl": F.when(F.size("sent") > 0, F.col("sent")).otherwise(F.array(F.greatest(F.size("words"), F.lit(1)).cast("double"))),
